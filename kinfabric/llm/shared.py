@@ -47,12 +47,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batches to ``rows``: texts are long, and workers hold a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
 
 
 def row_key(doc_id: Column, text: Column) -> Column:

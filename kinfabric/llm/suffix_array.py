@@ -10,10 +10,12 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_array(segments: list[bytes], first: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the suffixes in order, the text (0: separator, 1 to 256: bytes), each place's end.
 
-    Separator suffixes come first; an end is the place of the separator that closes the segment.
+    Separator suffixes come first; an end is the place of the separator that closes the segment. With
+    ``first``, only that many leading suffixes of each segment are wanted; the order then holds them and the
+    few behind them from which the last ones are induced.
     """
     lengths = np.array([len(s) for s in segments], np.int64)
     ends = np.cumsum(lengths + 1) - 1
@@ -32,16 +34,24 @@ def suffix_array(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     small = last[run_end]
     small[ends] = True
 
+    kept = np.ones(n, bool)
+    if first is not None:
+        # up to the next directly sorted suffix, from which the others are induced
+        starts, smalls = ends - lengths, np.flatnonzero(small)
+        wanted = np.minimum(np.array(first, np.int64), lengths + 1)
+        until = smalls[np.searchsorted(smalls, np.maximum(starts + wanted - 1, starts))]
+        kept = np.arange(n) <= np.repeat(until, lengths + 1)
+
     raw = (text - 1).clip(0).astype(np.uint8).tobytes()
     stops = stop.tolist()
-    direct = np.flatnonzero(small & (text > 0)).tolist()
+    direct = np.flatnonzero(small & (text > 0) & kept).tolist()
     direct.sort(key=lambda i: raw[i : stops[i]])  # stable: equal ones by position, as their separators
 
-    counts = np.bincount(text, minlength=257)
+    counts = np.bincount(text[kept], minlength=257)
     tails = np.cumsum(counts)
     heads = (tails - counts).tolist()
-    order = np.full(n, -1, np.int64)
-    order[: len(ends)] = ends
+    order = np.full(int(counts.sum()), -1, np.int64)
+    order[: counts[0]] = ends[kept[ends]]
     firsts = text[direct] if direct else np.zeros(0, np.int64)
     small_counts = np.bincount(firsts, minlength=257)
     # the directly sorted suffixes fill the ends of their buckets, the induced ones the fronts
@@ -50,7 +60,7 @@ def suffix_array(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
     order[begin[firsts] + rank] = direct
 
     order_list, kinds, symbols = order.tolist(), small.tolist(), text.tolist()
-    for place in range(n):
+    for place in range(len(order_list)):
         before = order_list[place] - 1
         if before >= 0 and not kinds[before]:
             symbol = symbols[before]
@@ -60,32 +70,47 @@ def suffix_array(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def common_prefixes(order: np.ndarray, text: np.ndarray, stop: np.ndarray, limit: int) -> np.ndarray:
-    """For each suffix but the first in order, the prefix shared with the one before, up to ``limit``."""
-    n = len(order)
-    out = np.zeros(n, np.int64)
-    if n < 2:
+    """For each suffix but the first in order, the prefix shared with the one before, up to ``limit``.
+
+    Eight bytes are compared at a time; the end of a segment ends a prefix.
+    """
+    out = np.zeros(len(order), np.int64)
+    if len(order) < 2:
         return out
-    padded = np.concatenate([text, np.zeros(limit, np.int64)])
+    raw = np.concatenate([(text - 1).clip(0).astype(np.uint8), np.zeros(limit + 16, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    words = np.ascontiguousarray(words).view("<u8").reshape(-1)
     one, two = order[:-1], order[1:]
     room = np.minimum(np.minimum(stop[one] - one, stop[two] - two), limit)
+    shared = np.zeros(len(one), np.int64)
     active = np.flatnonzero(room > 0)
-    shared = np.zeros(n - 1, np.int64)
-    for k in range(limit):
-        active = active[room[active] > k]
-        active = active[padded[one[active] + k] == padded[two[active] + k]]
+    for k in range(0, limit, 8):
+        differ = words[one[active] + k] ^ words[two[active] + k]
+        same = differ == 0
+        stuck, low = active[~same], differ[~same]
+        lowest = low & (~low + np.uint64(1))
+        shared[stuck] = k + np.log2(lowest.astype(np.float64)).astype(np.int64) // 8
+        active = active[same]
+        shared[active] = k + 8
+        active = active[room[active] > k + 8]
         if not len(active):
             break
-        shared[active] = k + 1
-    out[1:] = shared
+    out[1:] = np.minimum(shared, room)
     return out
 
 
 def repeated_starts(segments: list[bytes], length: int) -> np.ndarray:
     """Flags over the concatenated segments (each with one separator): a ``length``-byte string that
-    starts here starts at another place, too."""
-    order, text, stop = suffix_array(segments)
-    same = common_prefixes(order, text, stop, length) >= length
-    flags = np.zeros(len(order), bool)
-    flags[order[1:][same[1:]]] = True
-    flags[order[:-1][same[1:]]] = True
+    starts here starts at another place, too.
+
+    Only suffixes of ``length`` bytes or more are wanted: no shorter one can stand between two that share
+    their first ``length`` bytes.
+    """
+    order, text, stop = suffix_array(segments, [max(0, len(s) - length + 1) for s in segments])
+    order = order[stop[order] - order >= length]
+    flags = np.zeros(len(text), bool)
+    if len(order) > 1:
+        same = common_prefixes(order, text, stop, length)[1:] >= length
+        flags[order[1:][same]] = True
+        flags[order[:-1][same]] = True
     return flags

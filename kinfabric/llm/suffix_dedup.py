@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfabric.llm.hashing import CHUNK, U64, byte_windows, cover, runs, sliding_min
-from kinfabric.llm.shared import documents, materialize, row_key
+from kinfabric.llm.shared import documents, materialize, row_key, small_batches
 from kinfabric.llm.suffix_array import repeated_starts
 
 LENGTH, MARK = 200, 48
@@ -195,6 +195,7 @@ def _by_strings(parts: DataFrame) -> DataFrame:
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(rk, runs): per row key, the half-open byte ranges of starts of repeated LENGTH-byte strings."""
+    small_batches(docs.sparkSession)
     table = materialize(stretches(docs), "suffix-stretches")
     one = F.min(F.struct("rk", "start", "count")).alias("at")
     distinct = table.groupBy("mini", "seg").agg(F.sum("times").alias("n"), one)
