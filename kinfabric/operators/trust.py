@@ -64,7 +64,7 @@ def spam_flags(rows: DataFrame) -> DataFrame:
     heads = both.where("tick IS NOT NULL").groupBy("part").agg(F.min(F.struct("seq", "tick")).alias("head"))
     later = F.first("head", True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))
     parts = both.select("part").distinct().join(heads, "part", "left").select("part", later.alias("next"))  # at most 256 rows
-    ahead = Window.partitionBy("part").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy("part").orderBy("seq", F.col("tick").isNull()).rowsBetween(1, Window.unboundedFollowing)
     tick = F.when(F.col("tick").isNotNull(), F.struct("seq", "tick"))
     both = both.withColumn("x", F.first(tick, True).over(ahead)).join(F.broadcast(parts), "part")
     both = both.withColumn("x", F.coalesce("x", "next")).where("end IS NOT NULL AND x IS NOT NULL")
