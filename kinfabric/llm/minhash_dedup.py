@@ -7,10 +7,13 @@ left-out positions finds all such pairs. With the defaults (50 positions, 10 chu
 guaranteed distance is 19 of 50; a pair at similarity 0.85 is beyond it with probability 1e-5.
 
 Candidates are confirmed by the exact similarity of the full shingle sets. Pairs of a bucket are never
-all emitted: first each document is tried against the best of its buckets' smallest ids, and components
-are formed from the links found; then only pairs of a bucket that still lie in different components are
-tried. As every pair of a bucket within one component is linked already, no link that would join two
-components is lost.
+all emitted. In a few rounds each document is tried against the nearest of its buckets' pivots, one id a
+bucket and round, and components are formed from the links found. Then only pairs of a bucket that lie in
+different components and within the guaranteed distance are tried, found tile by tile, each pair in the
+first bucket it shares. A second signature of 1024 8-bit positions, made of the full sets of only the documents
+that are left, spares the exact comparison of pairs that lie more than 4.75 standard deviations beyond the
+threshold (a pair on the threshold is lost with probability 1e-6). As all pairs of a bucket within one component are linked already, no link that
+would join two components is lost.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own component;
 texts with fewer words than a shingle are one shingle, their whole sequence; documents with equal sets
@@ -29,9 +32,17 @@ from pyspark.sql import functions as F
 
 from kinfabric.llm.components import connected_components
 from kinfabric.llm.hashing import U64, gram_hashes, mix, word_hashes
-from kinfabric.llm.shared import documents, materialize, release
+from kinfabric.llm.shared import documents, materialize
 
 POSITIONS, CHUNKS, ERRORS = 50, 10, 1
+ROUNDS, TILE, FINE = 6, 2048, 1024
+_WIDTH = POSITIONS // CHUNKS
+#: The positions of each index key: a chunk less each choice of left-out ones.
+PLACES = [
+    tuple(c * _WIDTH + p for p in places)
+    for c in range(CHUNKS)
+    for places in itertools.combinations(range(_WIDTH), _WIDTH - ERRORS)
+]
 _A = mix(np.arange(1, POSITIONS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 _B = mix(_A + U64(7))
 
@@ -54,6 +65,35 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return mix(low).astype(np.uint16)
 
 
+_FINE_A = mix(np.arange(1, FINE + 1, dtype=U64) * U64(0x2545F4914F6CDD1D)) | U64(1)
+_FINE_B = mix(_FINE_A + U64(9))
+
+
+def fine_signature(shingles: np.ndarray) -> np.ndarray:
+    low = np.full(FINE, np.iinfo(U64).max, U64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(shingles), 512):
+            np.minimum(low, (shingles[at : at + 512, None] * _FINE_A[None, :] + _FINE_B[None, :]).min(axis=0), out=low)
+    return mix(low).astype(np.uint8)
+
+
+def fine_reach(percent: int) -> int:
+    """Differences that the second signature allows: the mean at the threshold and 4.75 deviations."""
+    q = (1 - percent / 100) * (1 - 2.0**-8)
+    return int(FINE * q + 4.75 * (FINE * q * (1 - q)) ** 0.5) + 1
+
+
+def _fine(sets: DataFrame) -> DataFrame:
+    """(id, fine) for (id, shingles)."""
+
+    def run(batches):
+        for batch in batches:
+            fine = [fine_signature(x.values.to_numpy().view(U64)).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.binary())], ["id", "fine"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id long, fine binary")
+
+
 def _pair(hashes: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit hashes of a sorted set, as signed integers."""
     with np.errstate(over="ignore"):
@@ -85,26 +125,24 @@ def _sigs(column: pa.Array) -> np.ndarray:
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
-    """(key, id): each signature under every chunk and every choice of left-out positions."""
-    width = POSITIONS // CHUNKS
-    kept = list(itertools.combinations(range(width), width - ERRORS))
+    """(key, k, id): each signature under every chunk and every choice of left-out positions, numbered k."""
 
     def run(batches):
         for batch in batches:
             sig = _sigs(batch.column(1)).astype(U64)
-            keys = np.empty((len(sig), CHUNKS * len(kept)), U64)
+            keys = np.empty((len(sig), len(PLACES)), U64)
             with np.errstate(over="ignore"):
-                for c in range(CHUNKS):
-                    for k, places in enumerate(kept):
-                        key = np.zeros(len(sig), U64)
-                        for p in places:
-                            key = (key << U64(16)) | sig[:, c * width + p]
-                        keys[:, c * len(kept) + k] = mix(mix(key) + U64(1 + c * len(kept) + k))
+                for k, places in enumerate(PLACES):
+                    key = np.zeros(len(sig), U64)
+                    for p in places:
+                        key = (key << U64(16)) | sig[:, p]
+                    keys[:, k] = mix(mix(key) + U64(1 + k))
             flat = pa.array(keys.reshape(-1).view(np.int64))
-            ids = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([flat, ids], ["key", "id"])
+            numbers = pa.array(np.tile(np.arange(len(PLACES), dtype=np.int16), len(sig)))
+            ids = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(PLACES)))
+            yield pa.RecordBatch.from_arrays([flat, numbers, ids], ["key", "k", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(run, "key long, k short, id long")
 
 
 def _distance(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -123,8 +161,8 @@ def _distance(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, distance int")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
+def _full_sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(id, shingles): the full shingle sets of the rows with these ids."""
 
     def run(batches):
         for batch in batches:
@@ -135,17 +173,80 @@ def _confirm(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "shingles"]
             )
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(needed, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
-    sets = materialize(sets, "near-sets")
+    needed = ids.select(F.col("id").alias("doc_id"))
+    return texts.join(needed, "doc_id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     linked = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    links = materialize(pairs.join(two, "b").join(one, "a").where(linked).select("a", "b").distinct(), "near-links")
-    release(sets)
-    return links
+    return materialize(pairs.join(two, "b").join(one, "a").where(linked).select("a", "b").distinct(), "near-links")
+
+
+def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int) -> DataFrame:
+    """(a, b) of one bucket, in different components, at most ``reach`` and ``fine`` positions apart.
+
+    ``apart``: key, k, id, c; ``wide``: id, sig, fine, which join last, so that they are shuffled once. A bucket of more than TILE rows is cut into tiles by a hash of the id and
+    each two tiles meet in a task of their own choice; a pair is emitted only under the first k it shares.
+    """
+    size = apart.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = apart.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("tiles")).cast("int"))
+    met = F.transform(
+        F.sequence(F.lit(0), F.col("tiles") - 1),
+        lambda t: F.struct(F.least(t, F.col("mine")).alias("p"), F.greatest(t, F.col("mine")).alias("q")),
+    )
+    rows = rows.select("key", "k", "id", "c", "mine", F.explode(met).alias("m")).join(wide, "id")
+    rows = rows.select("key", "m.p", "m.q", "mine", "k", "id", "c", "sig", "fine")
+    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def tile(part: pa.Table):
+        mine, ids, comps = (part.column(c).to_numpy() for c in ("mine", "id", "c"))
+        sig, k = _sigs(part.column("sig")), int(part.column("k")[0].as_py())
+        long = np.frombuffer(b"".join(part.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+        p, q = part.column("p")[0].as_py(), part.column("q")[0].as_py()
+        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+        for i in left:
+            far = (sig[right] != sig[i]).sum(axis=1)
+            hit = right[(far <= reach) & (comps[right] != comps[i])]
+            if p == q:
+                hit = hit[hit > i]
+            hit = hit[(long[hit] != long[i]).sum(axis=1) <= fine]
+            if len(hit):
+                earlier = np.zeros(len(hit), bool)
+                for places in PLACES[:k]:
+                    at = list(places)
+                    earlier |= (sig[hit][:, at] == sig[i][at]).all(axis=1)
+                for j in hit[~earlier]:
+                    yield max(ids[i], ids[j]), min(ids[i], ids[j])
+
+    def run(batches):
+        held, last = [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            marks = list(zip(*(table.column(c).to_pylist() for c in ("key", "p", "q")), strict=True))
+            cuts = [i for i in range(len(marks)) if i and marks[i] != marks[i - 1]]
+            for at, end in zip([0, *cuts], [*cuts, len(marks)], strict=True):
+                if at == end:
+                    continue
+                if held and marks[at] != last:
+                    yield from emit(held)
+                    held = []
+                held.append(table.slice(at, end - at))
+                last = marks[at]
+        if held:
+            yield from emit(held)
+
+    def emit(held):
+        found = list(tile(pa.concat_tables(held)))
+        for at in range(0, len(found), 65536):
+            part = found[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _same_id(marks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,27 +270,31 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     keys = index_keys(sets)
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    members = materialize(keys.join(shared.select("key", "low"), "key"), "near-buckets")
-    tried = members.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    near = _distance(tried, sets).where(F.col("distance") <= reach)
-    nearest = near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
-    nearest = materialize(nearest, "near-first")
-    links = _confirm(nearest, docs, n, percent).union(_same_id(marks, sets))
-    labels = materialize(connected_components(links), "near-labels")
-
-    # what still lies apart in a bucket
-    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    placed = materialize(placed, "near-placed")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
-    apart = materialize(placed.join(mixed, "key"), "near-apart")
-    one = apart.select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    two = apart.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = one.join(two, "key").where("ca < cb").select("a", "b").distinct()
-    done = nearest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    rest = materialize(rest.join(done, ["a", "b"], "left_anti"), "near-rest")
-    rest = materialize(_distance(rest, sets).where(F.col("distance") <= reach).select("a", "b"), "near-second")
-    more = _confirm(rest, docs, n, percent)
+    members = materialize(keys.join(shared.select("key"), "key"), "near-buckets")
+    full = materialize(_full_sets(members.select("id").distinct(), docs, n), "near-sets")
+    links = materialize(_same_id(marks, sets), "near-links")
+    labels = connected_components(links)
+    for step in range(ROUNDS + 1):
+        # what still lies apart in a bucket
+        placed = members.join(labels, "id", "left").select("key", "k", "id", F.coalesce("component", "id").alias("c"))
+        placed = materialize(placed, "near-placed")
+        pivot = F.min_by("id", F.struct(F.xxhash64("id", F.lit(step)), "id")).alias("pivot")
+        mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), pivot).where("x < y")
+        members = materialize(placed.join(mixed.select("key", "pivot"), "key"), "near-apart")
+        if step == ROUNDS:
+            break
+        heads = members.where("id = pivot").select("key", F.col("c").alias("pc"))
+        tried = members.join(heads, "key").where("c <> pc").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+        near = _distance(tried.distinct(), sets).where(F.col("distance") <= reach)
+        nearest = near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
+        links = materialize(links.union(_confirm(nearest, full, percent)), "near-links")
+        labels = materialize(connected_components(links), "near-labels")
+        members = members.drop("pivot", "c")
+    left = members.select("id").distinct()
+    fine = materialize(_fine(full.join(left, "id", "left_semi")), "near-fine").join(sets.select("id", "sig"), "id")
+    fine = materialize(fine, "near-fine")
+    rest = materialize(_apart_pairs(members.select("key", "k", "id", "c"), fine, reach, fine_reach(percent)), "near-rest")
+    more = _confirm(rest.distinct(), full, percent)
     labels = connected_components(links.union(more))
 
     classes = sets.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("c"))
