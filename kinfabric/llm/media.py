@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinfabric.llm.shared import documents
 
@@ -273,14 +274,7 @@ def sniff_media(rows: DataFrame, media: str = "media", declared: str = "declared
     kinds = pa.list_(pa.struct([("offset", pa.int64()), ("type", pa.string()), ("bytes", pa.binary())]))
     rows = rows.drop("type", "corrected", "carved")
     added = "type string, corrected boolean, carved array<struct<offset: long, type: string, bytes: binary>>"
-    schema = rows.schema
-    for field in spark_schema(rows.sparkSession, added):
-        schema = schema.add(field)
-    return rows.mapInArrow(run, schema)
-
-
-def spark_schema(spark: SparkSession, ddl: str):
-    return spark.createDataFrame([], ddl).schema.fields
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(added).fields]))
 
 
 def features(stored: DataFrame) -> DataFrame:

@@ -36,7 +36,8 @@ def word_count(text: Column) -> Column:
 def quality_level(text: Column, size: Column) -> Column:
     """A weight from 1 to 100 hundredths: words over words and runs of noise characters."""
     noise = F.coalesce(F.regexp_count(text, F.lit(NOISE)), F.lit(0)).cast("long")
-    return F.greatest(F.lit(1), F.coalesce(F.floor(100 * size / (size + noise)), F.lit(100))).cast("int")
+    share = F.when(size + noise > 0, F.floor(100 * size / (size + noise))).otherwise(100)
+    return F.greatest(F.lit(1), share).cast("int")
 
 
 def source_targets(sizes: DataFrame, pattern=PATTERN, share=SHARE, epochs=EPOCHS) -> DataFrame:
