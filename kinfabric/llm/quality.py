@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from kinfabric.llm.hashing import word_hashes
 from kinfabric.llm.shared import documents, materialize
 
-MOST_LABELLED, MOST_POOL, ROUNDS, CONFIDENT, THRESHOLD = 20_000, 20_000, 4, 0.97, 0.5
+MOST_LABELLED, MOST_POOL, ROUNDS, CONFIDENT, THRESHOLD = 8_000, 8_000, 4, 0.97, 0.5
 _CLASS = np.full(256, 6, np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = 0
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -165,11 +165,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = table.join(marks, "doc_id").orderBy(*order).limit(most_labelled).toPandas()
-    pool = table.join(marks, "doc_id", "left_anti").where("doc_id IS NOT NULL").orderBy(*order).limit(most_pool).toPandas()
+    known = table.join(marks, "doc_id").orderBy(*order).limit(most_labelled).toArrow()
+    pool = table.join(marks, "doc_id", "left_anti").where("doc_id IS NOT NULL").orderBy(*order).limit(most_pool).toArrow()
     schema = "doc_id long, text_score double, page_score double, score double, keep boolean"
-    stack = lambda c: np.stack(c.to_list()).astype(np.float64) if len(c) else np.zeros((0, 1))
-    y = known["y"].to_numpy(np.float64)
+    stack = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), -1).astype(np.float64) if len(c) else np.zeros((0, 1))
+    y = known["y"].to_numpy().astype(np.float64)
     held = np.arange(len(y)) % 4 == 3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return table.select("doc_id", *[F.lit(1.0).alias(c) for c in ("text_score", "page_score", "score")], F.lit(True).alias("keep"))
