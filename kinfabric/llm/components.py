@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfabric.llm.shared import materialize
+from kinfabric.llm.shared import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,7 +35,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        before = edges
         edges = materialize(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
         now = _state(edges)
         if now == seen:
             break

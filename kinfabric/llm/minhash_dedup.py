@@ -8,7 +8,8 @@ guaranteed distance is 19 of 50; a pair at similarity 0.85 is beyond it with pro
 
 Candidates are confirmed by the exact similarity of the full shingle sets. Pairs of a bucket are never
 all emitted. In a few rounds each document is tried against the nearest of its buckets' pivots, one id a
-bucket and round, and components are formed from the links found. Then only pairs of a bucket that lie in
+bucket and round, and components are formed from the links found; in one more round against the nearest
+document of another component that a scan of its buckets finds. Then only pairs of a bucket that lie in
 different components and within the guaranteed distance are tried, found tile by tile, each pair in the
 first bucket it shares. A second signature of 1024 8-bit positions, made of the full sets of only the documents
 that are left, spares the exact comparison of pairs that lie more than 4.75 standard deviations beyond the
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 
 from kinfabric.llm.components import connected_components
 from kinfabric.llm.hashing import U64, gram_hashes, mix, word_hashes
-from kinfabric.llm.shared import documents, materialize
+from kinfabric.llm.shared import discard, documents, materialize
 
 POSITIONS, CHUNKS, ERRORS = 50, 10, 1
-ROUNDS, TILE, FINE = 6, 2048, 1024
+ROUNDS, TILE, FINE = 2, 2048, 1024
 _WIDTH = POSITIONS // CHUNKS
 #: The positions of each index key: a chunk less each choice of left-out ones.
 PLACES = [
@@ -187,8 +188,10 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.join(two, "b").join(one, "a").where(linked).select("a", "b").distinct(), "near-links")
 
 
-def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int) -> DataFrame:
-    """(a, b) of one bucket, in different components, at most ``reach`` and ``fine`` positions apart.
+def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int, nearest: bool = False) -> DataFrame:
+    """(a, b, distance) of one bucket, in different components, at most ``reach`` and ``fine`` positions apart.
+
+    ``distance`` is that of the second signatures; with ``nearest``, a row of a tile has one partner at most.
 
     ``apart``: key, k, id, c; ``wide``: id, sig, fine, which join last, so that they are shuffled once. A bucket of more than TILE rows is cut into tiles by a hash of the id and
     each two tiles meet in a task of their own choice; a pair is emitted only under the first k it shares.
@@ -214,14 +217,19 @@ def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int) -> Da
             hit = right[(far <= reach) & (comps[right] != comps[i])]
             if p == q:
                 hit = hit[hit > i]
-            hit = hit[(long[hit] != long[i]).sum(axis=1) <= fine]
+            apart_by = (long[hit] != long[i]).sum(axis=1)
+            hit, apart_by = hit[apart_by <= fine], apart_by[apart_by <= fine]
             if len(hit):
                 earlier = np.zeros(len(hit), bool)
                 for places in PLACES[:k]:
                     at = list(places)
                     earlier |= (sig[hit][:, at] == sig[i][at]).all(axis=1)
-                for j in hit[~earlier]:
-                    yield max(ids[i], ids[j]), min(ids[i], ids[j])
+                hit, apart_by = hit[~earlier], apart_by[~earlier]
+                if nearest and len(hit):
+                    best = int(np.lexsort((ids[hit], apart_by))[0])
+                    hit, apart_by = hit[best : best + 1], apart_by[best : best + 1]
+                for j, d in zip(hit, apart_by, strict=True):
+                    yield (ids[i], ids[j], d) if nearest else (max(ids[i], ids[j]), min(ids[i], ids[j]), d)
 
     def run(batches):
         held, last = [], None
@@ -244,9 +252,10 @@ def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int) -> Da
         found = list(tile(pa.concat_tables(held)))
         for at in range(0, len(found), 65536):
             part = found[at : at + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], pa.int64()) for i in (0, 1)], ["a", "b"])
+            columns = [pa.array([x[i] for x in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "distance"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, distance int")
 
 
 def _same_id(marks: DataFrame, sets: DataFrame) -> DataFrame:
@@ -273,29 +282,33 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     members = materialize(keys.join(shared.select("key"), "key"), "near-buckets")
     full = materialize(_full_sets(members.select("id").distinct(), docs, n), "near-sets")
     links = materialize(_same_id(marks, sets), "near-links")
-    labels = connected_components(links)
-    for step in range(ROUNDS + 1):
+    labels = materialize(connected_components(links), "near-labels")
+    for step in range(ROUNDS + 2):
         # what still lies apart in a bucket
         placed = members.join(labels, "id", "left").select("key", "k", "id", F.coalesce("component", "id").alias("c"))
         placed = materialize(placed, "near-placed")
+        discard(members)
         pivot = F.min_by("id", F.struct(F.xxhash64("id", F.lit(step)), "id")).alias("pivot")
         mixed = placed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), pivot).where("x < y")
         members = materialize(placed.join(mixed.select("key", "pivot"), "key"), "near-apart")
-        if step == ROUNDS:
-            break
-        heads = members.where("id = pivot").select("key", F.col("c").alias("pc"))
-        tried = members.join(heads, "key").where("c <> pc").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
-        near = _distance(tried.distinct(), sets).where(F.col("distance") <= reach)
-        nearest = near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
-        links = materialize(links.union(_confirm(nearest, full, percent)), "near-links")
+        discard(placed)
+        if step < ROUNDS:
+            heads = members.where("id = pivot").select("key", F.col("c").alias("pc"))
+            tried = members.join(heads, "key").where("c <> pc").select(F.col("id").alias("a"), F.col("pivot").alias("b"))
+            near = _distance(tried.distinct(), sets).where(F.col("distance") <= reach)
+        else:
+            if step == ROUNDS:
+                left = full.join(members.select("id").distinct(), "id", "left_semi")
+                wide = materialize(_fine(left).join(sets.select("id", "sig"), "id"), "near-fine")
+            near = _apart_pairs(members.select("key", "k", "id", "c"), wide, reach, fine_reach(percent), step == ROUNDS)
+        if step <= ROUNDS:
+            near = near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
+        else:
+            near = materialize(near.select("a", "b"), "near-rest").distinct()
+        fresh, before = _confirm(near, full, percent), (links, labels)
+        links = materialize(links.union(fresh), "near-links")
         labels = materialize(connected_components(links), "near-labels")
-        members = members.drop("pivot", "c")
-    left = members.select("id").distinct()
-    fine = materialize(_fine(full.join(left, "id", "left_semi")), "near-fine").join(sets.select("id", "sig"), "id")
-    fine = materialize(fine, "near-fine")
-    rest = materialize(_apart_pairs(members.select("key", "k", "id", "c"), fine, reach, fine_reach(percent)), "near-rest")
-    more = _confirm(rest.distinct(), full, percent)
-    labels = connected_components(links.union(more))
+        discard(fresh, *before)
 
     classes = sets.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("c"))
     out = marks.join(classes, ["s1", "s2", "n_shingles"], "left")

@@ -47,6 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned, once nothing that is still to run reads them."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            jvm = table.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lower the session's Arrow batches to ``rows``: texts are long, and workers hold a batch at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
