@@ -73,13 +73,22 @@ def exact_classes(
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "min", **options) -> DataFrame:
-    """``docs`` with one row of each group of equal texts (also one of rows that repeat id and text)."""
-    classes = exact_classes(docs, keep=keep, **options).where("kept").select(F.col("doc_id").alias("_id"))
-    rows = docs.join(classes.distinct(), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    same = rows.groupBy("doc_id", ascii_lower(F.col("text")).alias("_norm")).agg(F.count("*").alias("_n"))
-    if same.where("_n > 1").isEmpty():
-        return rows
-    return rows.withColumn("_norm", ascii_lower(F.col("text"))).dropDuplicates(["doc_id", "_norm"]).drop("_norm")
+    """``docs`` with one row of each group of equal texts (also one of rows that repeat id and text).
+
+    The decisions are a written table of ids and hashes; with them, the texts are shuffled once more.
+    """
+    name = "_row"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    row = lambda doc_id, s: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("~")), s).alias(name)
+    classes = exact_classes(docs, keep=keep, **options).where("kept")
+    kept = materialize(classes.select(row(F.col("doc_id"), F.col("text_sha256"))), "exact-kept")
+    text = docs[options.get("text_col", "text")]
+    normalise = options.get("normalise", ascii_lower)
+    rows = docs.withColumn(name, row(docs[options.get("id_col", "doc_id")].cast("long"), F.sha2(normalise(text).cast("binary"), 256)))
+    if not kept.groupBy(name).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        rows = rows.dropDuplicates([name])
+    return rows.join(kept.distinct(), name, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

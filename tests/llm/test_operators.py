@@ -99,6 +99,10 @@ def test_op2(spark, rows, keep, weak):
     assert sorted(map(tuple, exact_dedup.exact_classes(frame(spark, data), keep=keep, hash_of=hash_of).collect())) == want
     assert exact_dedup.drop_exact_copies(frame(spark, data)).count() == len(groups)
     assert exact_dedup.exact_classes(frame(spark, ODD)).count() == len(ODD)
+    odd = frame(spark, [*ODD, (3, "other words are here")]).withColumn("_row", exact_dedup.F.lit(1))
+    left = exact_dedup.drop_exact_copies(odd)
+    assert left.columns == odd.columns
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(None, None), (7, "same text here"), (3, "other words are here")} and left.count() == 3
 
 
 def test_op3(spark, rows):
