@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfabric.llm.shared import documents, materialize
+from kinfabric.llm.shared import documents, free_name, materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Slices of a group of equal hashes whose texts are compared apart before the slices meet.
@@ -77,9 +77,7 @@ def drop_exact_copies(docs: DataFrame, keep: str = "min", **options) -> DataFram
 
     The decisions are a written table of ids and hashes; with them, the texts are shuffled once more.
     """
-    name = "_row"
-    while name in map(str.lower, docs.columns):
-        name += "_"
+    name = free_name(docs, "_row")
     row = lambda doc_id, s: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("~")), s).alias(name)
     classes = exact_classes(docs, keep=keep, **options).where("kept")
     kept = materialize(classes.select(row(F.col("doc_id"), F.col("text_sha256"))), "exact-kept")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfabric.llm.shared import documents, materialize
+from kinfabric.llm.shared import documents, free_name, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 NOISE = r"[!#$%&*|]+"
@@ -119,11 +119,12 @@ def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     Of rows that share a doc_id, all are taken as often as the first. Empty documents (size 0) stay once.
     """
-    takes = mix(sized(docs), seed).groupBy("doc_id").agg(F.max("copies").alias("_copies"), F.max("size").alias("_size"))
-    takes = takes.withColumnRenamed("doc_id", "_id")
-    rows = docs.join(takes, docs["doc_id"].eqNullSafe(F.col("_id")))
-    times = F.when(F.col("_size") == 0, 1).otherwise(F.col("_copies"))
-    rows = rows.where(times > 0).withColumn("_again", F.explode(F.sequence(F.lit(1), times)))
+    copies, again = free_name(docs, "_copies"), free_name(docs, "_again")
+    key, held = free_name(docs, "_id"), free_name(docs, "_size")
+    takes = mix(sized(docs), seed).groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies), F.max("size").alias(held))
+    rows = docs.join(takes, docs["doc_id"].eqNullSafe(F.col(key)))
+    times = F.when(F.col(held) == 0, 1).otherwise(F.col(copies))
+    rows = rows.where(times > 0).withColumn(again, F.explode(F.sequence(F.lit(1), times)))
     return rows.select(*[docs[c] for c in docs.columns])
 
 

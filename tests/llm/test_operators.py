@@ -249,6 +249,9 @@ def test_op10(spark, bucket_rows):
     want |= {s: weights[s] * level for s in open_}
     assert target == pytest.approx(want)
     assert all(abs(taken[s] - target[s]) <= 30 for s in names)
+    clash = frame(spark, data).selectExpr("*", "1 AS _id", "2 AS _copies", "3 AS _again", "4 AS _size")
+    mixed = mixing.mix_documents(clash)
+    assert mixed.columns == clash.columns and 0 < mixed.count() <= 2 * len(data)
     again = mixing.mix(mixing.sized(frame(spark, data).repartition(7)), bucket_rows=3).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
 
