@@ -77,3 +77,19 @@ def highlight(graph: Graph, node_id: str) -> DataFrame:
     two = one.join(nbr, "node_id").select(F.col("nbr").alias("node_id"), F.lit(2).alias("hops"))
     me = graph.get_node(node_id).select("node_id", F.lit(0).alias("hops"))
     return me.unionByName(one).unionByName(two).groupBy("node_id").agg(F.min("hops").alias("hops"))
+
+
+def filtered(graph: Graph, column: str, values: list) -> tuple[DataFrame, DataFrame]:
+    """Nodes whose property is one of ``values``; and, if ``column`` is one of the edges, both ends of such edges.
+
+    Returns (node_id of the selected nodes, edges with both ends selected).
+    """
+    if column in graph.nodes.columns:
+        picked = graph.nodes.where(F.col(column).isin(values)).select("node_id").distinct()
+    elif column in graph.edges.columns:
+        rows = graph.edges.where(F.col(column).isin(values))
+        picked = rows.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    else:
+        raise ValueError(f"neither nodes nor edges have {column}")
+    ends = [picked.withColumnRenamed("node_id", c) for c in ("source", "target")]
+    return picked, graph.edges.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi")
