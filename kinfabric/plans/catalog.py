@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from inspect import signature
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ def query(oracle: str | None = None):
     return add
 
 
-def graph(spark: SparkSession, d: str) -> Graph:
-    return Graph(views.nodes(spark, d).select("node_id", "node_ord", "kind", "name"), views.edges(spark, d))
+def graph(spark: SparkSession, d: str, edges=views.edges) -> Graph:
+    return Graph(views.nodes(spark, d).select("node_id", "node_ord", "kind", "name"), edges(spark, d))
 
 
 def r6(c) -> F.Column:
@@ -105,18 +107,18 @@ def graph_nodes(spark, d):
 
 
 @query(sql.EDGES)
-def graph_edges(spark, d):
-    return views.edges(spark, d)
+def graph_edges(spark, d, edges=views.edges):
+    return edges(spark, d)
 
 
 @query(sql.COUNTS)
-def graph_counts(spark, d):
-    return graph(spark, d).counts()
+def graph_counts(spark, d, edges=views.edges):
+    return graph(spark, d, edges).counts()
 
 
 def _neighbors(direction):
-    def run(spark, d):
-        return graph(spark, d).neighbors(direction)
+    def run(spark, d, edges=views.edges):
+        return graph(spark, d, edges).neighbors(direction)
 
     QUERIES[f"neighbors_{direction}"] = run
     ORACLES[f"neighbors_{direction}"] = sql.neighbors(direction)
@@ -127,185 +129,185 @@ for _direction in ("all", "outgoing", "incoming", "undirected"):
 
 
 @query(sql.DEGREE)
-def degree(spark, d):
-    return graph(spark, d).degrees()
+def degree(spark, d, edges=views.edges):
+    return graph(spark, d, edges).degrees()
 
 
 @query(sql.AVG_DEGREE)
-def avg_degree(spark, d):
-    return graph(spark, d).degrees().agg(r6(F.avg("degree")).alias("avg_degree"))
+def avg_degree(spark, d, edges=views.edges):
+    return graph(spark, d, edges).degrees().agg(r6(F.avg("degree")).alias("avg_degree"))
 
 
 @query(sql.FIRST_WINS)
-def add_edge_firstwins(spark, d):
+def add_edge_firstwins(spark, d, edges=views.edges):
     lines = views.table(spark, d, "lineitem").join(views.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     new = lines.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"))
     new = new.agg(F.min(F.struct("l_orderkey", "l_linenumber"))["l_orderkey"].alias("edge_ord")).withColumn("directed", F.lit(False)).withColumn("type", F.lit("order"))
-    out = graph(spark, d).add_edges(new, check=False)
+    out = graph(spark, d, edges).add_edges(new, check=False)
     return out.edges.groupBy("type").agg(F.count("*").alias("n"), F.sum("edge_ord").alias("ords"))
 
 
 @query(sql.CASCADE)
-def remove_node_cascade(spark, d):
-    g = graph(spark, d)
+def remove_node_cascade(spark, d, edges=views.edges):
+    g = graph(spark, d, edges)
     out = g.remove_nodes(g.nodes.where("kind = 'nation'"))
     return out.edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(sql.DANGLING)
-def dangling_edges(spark, d):
-    g = graph(spark, d)
+def dangling_edges(spark, d, edges=views.edges):
+    g = graph(spark, d, edges)
     return Graph(g.nodes.where("kind <> 'supplier'"), g.edges).dangling().select("source", "target", "type")
 
 
 @query(sql.PATHS)
-def paths_le4(spark, d):
-    return graph(spark, d).paths("n0", "n1", 5).select(F.concat_ws(">", "path").alias("path"))
+def paths_le4(spark, d, edges=views.edges):
+    return graph(spark, d, edges).paths("n0", "n1", 5).select(F.concat_ws(">", "path").alias("path"))
 
 
 @query(sql.clustering("ordered"))
-def clustering_ordered(spark, d):
-    return graph(spark, d).clustering("ordered").select("node_id", r6("clustering").alias("clustering"))
+def clustering_ordered(spark, d, edges=views.edges):
+    return graph(spark, d, edges).clustering("ordered").select("node_id", r6("clustering").alias("clustering"))
 
 
 @query(sql.clustering("any"))
-def clustering_any(spark, d):
-    return graph(spark, d).clustering("any").select("node_id", r6("clustering").alias("clustering"))
+def clustering_any(spark, d, edges=views.edges):
+    return graph(spark, d, edges).clustering("any").select("node_id", r6("clustering").alias("clustering"))
 
 
 @query(sql.COMPONENTS)
-def components(spark, d):
-    return graph(spark, d).components().groupBy("component").agg(F.count("*").alias("n"))
+def components(spark, d, edges=views.edges):
+    return graph(spark, d, edges).components().groupBy("component").agg(F.count("*").alias("n"))
 
 
 # Sybil detection
 
 
 @query(sql.SEEDS)
-def seeds_degree(spark, d):
-    return sybil.select_seeds(graph(spark, d), 10)
+def seeds_degree(spark, d, edges=views.edges):
+    return sybil.select_seeds(graph(spark, d, edges), 10)
 
 
 @query(sql.SEEDS_RANDOM)
-def seeds_random(spark, d):
-    return sybil.select_seeds(graph(spark, d), 10, "random")
+def seeds_random(spark, d, edges=views.edges):
+    return sybil.select_seeds(graph(spark, d, edges), 10, "random")
 
 
 @query(sql.SEEDS_CLUSTERING)
-def seeds_clustering(spark, d):
-    return sybil.select_seeds(graph(spark, d), 10, "clustering")
+def seeds_clustering(spark, d, edges=views.edges):
+    return sybil.select_seeds(graph(spark, d, edges), 10, "clustering")
 
 
 @query(sql.BETWEENNESS)
-def betweenness(spark, d):
-    return sybil.betweenness(graph(spark, d)).where("betweenness > 0").select("node_id", r6("betweenness").alias("betweenness"))
+def betweenness(spark, d, edges=views.edges):
+    return sybil.betweenness(graph(spark, d, edges)).where("betweenness > 0").select("node_id", r6("betweenness").alias("betweenness"))
 
 
 @query()
-def seeds_betweenness(spark, d):
-    return sybil.select_seeds(graph(spark, d), 10, "betweenness")
+def seeds_betweenness(spark, d, edges=views.edges):
+    return sybil.select_seeds(graph(spark, d, edges), 10, "betweenness")
 
 
-def _walks(spark, d, length):
-    g = graph(spark, d)
+def _walks(spark, d, length, edges=views.edges):
+    g = graph(spark, d, edges)
     return g, written(sybil.walks(g, sybil.select_seeds(g, 10), 100, length), "walks")
 
 
 @query(sql.walks(20, "SELECT * FROM walks"))
-def walks_guard(spark, d):
-    return _walks(spark, d, 20)[1]
+def walks_guard(spark, d, edges=views.edges):
+    return _walks(spark, d, 20, edges)[1]
 
 
 @query(sql.walks(25, "SELECT * FROM walks"))
-def walks_limit(spark, d):
-    return _walks(spark, d, 25)[1]
+def walks_limit(spark, d, edges=views.edges):
+    return _walks(spark, d, 25, edges)[1]
 
 
 @query(sql.walks(20, sql.DIVERSITY))
-def guard_diversity(spark, d):
-    return sybil.path_diversity(*_walks(spark, d, 20)).select("node_id", r6("diversity").alias("diversity"))
+def guard_diversity(spark, d, edges=views.edges):
+    return sybil.path_diversity(*_walks(spark, d, 20, edges)).select("node_id", r6("diversity").alias("diversity"))
 
 
 @query(sql.walks(20, sql.ATTACK))
-def guard_attack_edges(spark, d):
-    return sybil.attack_edges(_walks(spark, d, 20)[1], 0.01).select("source", "target", r6("frequency").alias("frequency"))
+def guard_attack_edges(spark, d, edges=views.edges):
+    return sybil.attack_edges(_walks(spark, d, 20, edges)[1], 0.01).select("source", "target", r6("frequency").alias("frequency"))
 
 
 @query(sql.walks(20, sql.GUARD))
-def guard_scores(spark, d):
-    return sybil.guard_scores(*_walks(spark, d, 20)).select("node_id", r6("score").alias("score"))
+def guard_scores(spark, d, edges=views.edges):
+    return sybil.guard_scores(*_walks(spark, d, 20, edges)).select("node_id", r6("score").alias("score"))
 
 
 @query(sql.walks(20, sql.GUARD_SYBILS))
-def guard_sybils(spark, d):
-    return sybil.guard_sybils(sybil.guard_scores(*_walks(spark, d, 20))).agg(F.count("*").alias("n"))
+def guard_sybils(spark, d, edges=views.edges):
+    return sybil.guard_sybils(sybil.guard_scores(*_walks(spark, d, 20, edges))).agg(F.count("*").alias("n"))
 
 
 @query()
-def guard_top_k(spark, d):
-    return top(sybil.guard_scores(*_walks(spark, d, 20)), r6("score"), 10).select("node_id", r6("score").alias("score"))
+def guard_top_k(spark, d, edges=views.edges):
+    return top(sybil.guard_scores(*_walks(spark, d, 20, edges)), r6("score"), 10).select("node_id", r6("score").alias("score"))
 
 
 @query(sql.walks(25, sql.MIXING))
-def limit_mixing(spark, d):
-    rows = sybil.mixing(_walks(spark, d, 25)[1])
+def limit_mixing(spark, d, edges=views.edges):
+    rows = sybil.mixing(_walks(spark, d, 25, edges)[1])
     return rows.select("node_id", "walks_through", "early", "late", r6("mixing_ratio").alias("mixing_ratio"), r6("visit_frequency").alias("visit_frequency"))
 
 
 @query(sql.walks(25, sql.BALANCE))
-def limit_balance(spark, d):
-    return sybil.balance(*_walks(spark, d, 25)).select("node_id", r6("balance").alias("balance"))
+def limit_balance(spark, d, edges=views.edges):
+    return sybil.balance(*_walks(spark, d, 25, edges)).select("node_id", r6("balance").alias("balance"))
 
 
 @query(sql.walks(25, sql.ACCEPTANCE))
-def limit_acceptance(spark, d):
-    return sybil.acceptance(*_walks(spark, d, 25)).select("node_id", r6("acceptance").alias("acceptance"))
+def limit_acceptance(spark, d, edges=views.edges):
+    return sybil.acceptance(*_walks(spark, d, 25, edges)).select("node_id", r6("acceptance").alias("acceptance"))
 
 
 @query(sql.walks(25, sql.LIMIT_SYBILS))
-def limit_sybils(spark, d):
-    return sybil.limit_sybils(sybil.acceptance(*_walks(spark, d, 25))).agg(F.count("*").alias("n"))
+def limit_sybils(spark, d, edges=views.edges):
+    return sybil.limit_sybils(sybil.acceptance(*_walks(spark, d, 25, edges))).agg(F.count("*").alias("n"))
 
 
 @query(sql.walks(25, sql.TOP_TRUSTED))
-def limit_top_trusted(spark, d):
-    return top(sybil.acceptance(*_walks(spark, d, 25)), r6("acceptance"), 10).select("node_id", r6("acceptance").alias("acceptance"))
+def limit_top_trusted(spark, d, edges=views.edges):
+    return top(sybil.acceptance(*_walks(spark, d, 25, edges)), r6("acceptance"), 10).select("node_id", r6("acceptance").alias("acceptance"))
 
 
 @query(sql.walks(25, sql.TOP_SUSPICIOUS))
-def limit_top_suspicious(spark, d):
-    return top(sybil.acceptance(*_walks(spark, d, 25)), r6("acceptance"), 10, descending=False).select("node_id", r6("acceptance").alias("acceptance"))
+def limit_top_suspicious(spark, d, edges=views.edges):
+    return top(sybil.acceptance(*_walks(spark, d, 25, edges)), r6("acceptance"), 10, descending=False).select("node_id", r6("acceptance").alias("acceptance"))
 
 
-def _ranks(spark, d):
-    g = graph(spark, d)
+def _ranks(spark, d, edges=views.edges):
+    g = graph(spark, d, edges)
     return sybil.propagate(g, sybil.select_seeds(g, 10), iterations=10, fixed=True)
 
 
 @query(sql.rank("SELECT node_id, round(trust, 6) AS trust FROM ranks"))
-def rank_trust_k10(spark, d):
-    return _ranks(spark, d).select("node_id", r6("trust").alias("trust"))
+def rank_trust_k10(spark, d, edges=views.edges):
+    return _ranks(spark, d, edges).select("node_id", r6("trust").alias("trust"))
 
 
 @query(sql.rank("SELECT node_id, round(1 - trust, 6) AS score FROM ranks WHERE 1 - trust >= 1 - 0.1"))
-def rank_sybil(spark, d):
-    return sybil.rank_sybils(_ranks(spark, d)).select("node_id", r6("score").alias("score"))
+def rank_sybil(spark, d, edges=views.edges):
+    return sybil.rank_sybils(_ranks(spark, d, edges)).select("node_id", r6("score").alias("score"))
 
 
 @query(sql.rank("SELECT node_id FROM ranks WHERE trust >= 0.1"))
-def rank_honest(spark, d):
-    return sybil.rank_honest(_ranks(spark, d)).select("node_id")
+def rank_honest(spark, d, edges=views.edges):
+    return sybil.rank_honest(_ranks(spark, d, edges)).select("node_id")
 
 
 @query(sql.rank(sql.STATS))
-def rank_stats(spark, d):
-    rows = sybil.trust_stats(_ranks(spark, d))
+def rank_stats(spark, d, edges=views.edges):
+    rows = sybil.trust_stats(_ranks(spark, d, edges))
     return rows.select(*[r6(c).alias(c) for c in ("mean", "median", "std", "low", "high")], "trusted", "total")
 
 
 @query(sql.rank("SELECT node_id, round(trust, 6) AS trust FROM ranks JOIN nodes USING (node_id) ORDER BY round(trust, 6) DESC, node_ord LIMIT 10"))
-def rank_top_k(spark, d):
-    return top(_ranks(spark, d), r6("trust"), 10).select("node_id", r6("trust").alias("trust"))
+def rank_top_k(spark, d, edges=views.edges):
+    return top(_ranks(spark, d, edges), r6("trust"), 10).select("node_id", r6("trust").alias("trust"))
 
 
 # Trust ledger
@@ -398,23 +400,23 @@ def generated_sequences(spark, d):
 
 
 @query(sql.VIZ_NODES)
-def viz_nodes(spark, d):
-    return viz.viz_nodes(graph(spark, d)).select("node_id", "degree", r6("size").alias("size"))
+def viz_nodes(spark, d, edges=views.edges):
+    return viz.viz_nodes(graph(spark, d, edges)).select("node_id", "degree", r6("size").alias("size"))
 
 
 @query()
-def viz_colors(spark, d):
-    return viz.viz_nodes(graph(spark, d)).select("node_id", "color")
+def viz_colors(spark, d, edges=views.edges):
+    return viz.viz_nodes(graph(spark, d, edges)).select("node_id", "color")
 
 
 @query(sql.VIZ_EDGES)
-def viz_edges(spark, d):
-    return viz.viz_edges(graph(spark, d))
+def viz_edges(spark, d, edges=views.edges):
+    return viz.viz_edges(graph(spark, d, edges))
 
 
 @query(sql.HIGHLIGHT)
-def highlight(spark, d):
-    return viz.highlight(graph(spark, d), "n0")
+def highlight(spark, d, edges=views.edges):
+    return viz.highlight(graph(spark, d, edges), "n0")
 
 
 @query(sql.HOURLY)
@@ -425,3 +427,18 @@ def activity_windows(spark, d):
 @query(sql.SESSIONS)
 def activity_sessions(spark, d):
     return activity.sessions(views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes").select("user_id", "n", r6("value").alias("value"))
+
+
+# The same over all trades; the queries above keep the sample of trades that their SQL is written for
+
+
+def _whole(name, f):
+    def run(spark, d):
+        return f(spark, d, edges=views.all_edges)
+
+    QUERIES[f"{name}_whole"] = run
+
+
+for _name, _f in list(QUERIES.items()):
+    if "edges" in signature(_f).parameters:
+        _whole(_name, _f)

@@ -23,14 +23,20 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    """(source, target, directed, type): location edges, and trade between customers and suppliers."""
+TRADE_SAMPLE = "l_shipdate < '1996-01-01' AND l_quantity >= 45 AND l_returnflag = 'R'"
+
+
+def edges(spark: SparkSession, d: str, trades: str = TRADE_SAMPLE) -> DataFrame:
+    """(source, target, directed, type): location edges, and trade between customers and suppliers.
+
+    ``trades`` picks the lines that make trade edges: a fixed sample, as in FIXTURES.md and the SQL.
+    """
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
 
     def of(df, a, b, directed, kind):
         return df.select(a.alias("source"), b.alias("target"), F.lit(directed).alias("directed"), F.lit(kind).alias("type"))
 
-    lines = table(spark, d, "lineitem").where("l_shipdate < '1996-01-01' AND l_quantity >= 45 AND l_returnflag = 'R'")
+    lines = table(spark, d, "lineitem").where(trades)
     trade = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
     return (
         of(table(spark, d, "nation"), key("n", "n_nationkey"), key("r", "n_regionkey"), True, "located_in")
@@ -40,6 +46,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def all_edges(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`edges` with the trade of every line."""
+    return edges(spark, d, "true")
+
+
 def subjects(spark: SparkSession, d: str) -> DataFrame:
     """One person record a customer; keys 1 and 2 of each four repeat key 0 with perturbations."""
     k = F.col("c_custkey")

@@ -1,0 +1,29 @@
+"""Graph queries over all trades, against the sample's SQL without its cut."""
+
+import duckdb
+import pytest
+
+from kinfabric.plans.catalog import ORACLES, QUERIES
+from tests.test_queries import TABLES, D, tidy
+
+CUT = "WHERE l_shipdate < '1996-01-01' AND l_quantity >= 45 AND l_returnflag = 'R'"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["graph_edges", "degree", "neighbors_undirected", "clustering_any", "components", "guard_scores", "limit_acceptance", "rank_trust_k10", "paths_le4"])
+def test_whole_same_as_sql(spark, duck, name):
+    assert CUT in ORACLES[name]
+    theirs = duck.execute(ORACLES[name].replace(CUT, "")).df()
+    assert tidy(QUERIES[f"{name}_whole"](spark, D).toPandas()) == tidy(theirs)
+
+
+def test_every_trade_is_an_edge(spark, duck):
+    n = duck.execute("SELECT count(*) FROM (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)").fetchone()[0]
+    assert QUERIES["graph_edges_whole"](spark, D).where("type = 'trade'").count() == n > 1000
