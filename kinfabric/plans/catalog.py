@@ -310,6 +310,40 @@ def rank_top_k(spark, d, edges=views.edges):
     return top(_ranks(spark, d, edges), r6("trust"), 10).select("node_id", r6("trust").alias("trust"))
 
 
+# Propagation until it settles (no SQL can unroll that); the queries above take ten steps, as their SQL does
+
+
+def _settled(spark, d, edges=views.edges):
+    g = graph(spark, d, edges)
+    return sybil.propagate(g, sybil.select_seeds(g, 10))
+
+
+@query()
+def rank_trust(spark, d, edges=views.edges):
+    return _settled(spark, d, edges).select("node_id", r6("trust").alias("trust"))
+
+
+@query()
+def rank_sybil_settled(spark, d, edges=views.edges):
+    return sybil.rank_sybils(_settled(spark, d, edges)).select("node_id", r6("score").alias("score"))
+
+
+@query()
+def rank_honest_settled(spark, d, edges=views.edges):
+    return sybil.rank_honest(_settled(spark, d, edges)).select("node_id")
+
+
+@query()
+def rank_stats_settled(spark, d, edges=views.edges):
+    rows = sybil.trust_stats(_settled(spark, d, edges))
+    return rows.select(*[r6(c).alias(c) for c in ("mean", "median", "std", "low", "high")], "trusted", "total")
+
+
+@query()
+def rank_top_k_settled(spark, d, edges=views.edges):
+    return top(_settled(spark, d, edges), r6("trust"), 10).select("node_id", r6("trust").alias("trust"))
+
+
 # Trust ledger
 
 
