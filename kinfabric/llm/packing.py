@@ -1,8 +1,9 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths is exact up to 128 and keeps 7 significant bits beyond (upper edges), so it
-has at most 3,700 bins whatever the data; dynamic programming over it picks the bucket boundaries with the
-least padding. Inside a bucket, batches hold as many documents as the token budget pays for at the bucket's
+The global histogram of lengths is exact; dynamic programming over it picks the bucket boundaries with the
+least padding, each the largest length of its bucket. D distinct lengths need D * (D - 1) / 2 words at least, so
+the histogram grows with the square root of the corpus; a lower envelope of lines makes a bucket's turn linear
+in it. Inside a bucket, batches hold as many documents as the token budget pays for at the bucket's
 padded length. Ranks inside a bucket come from slices of about ``SLICE_ROWS`` documents and offsets, so a
 bucket that holds a third of all rows is no single task.
 
@@ -22,22 +23,37 @@ from kinfabric.llm.shared import documents, materialize
 BUCKETS, BUDGET, SLICE_ROWS = 16, 16384, 4096
 
 
+def _covered(best: list, total: list, a: int, b: int, c: int) -> bool:
+    """Whether line ``b`` is nowhere below both ``a`` and ``c``."""
+    return (best[c] - best[a]) * (total[b] - total[a]) <= (best[b] - best[a]) * (total[c] - total[a])
+
+
 def best_boundaries(edges: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The at most ``buckets`` edges, the last included, that minimise the sum of padded lengths."""
     n = len(edges)
     if n == 0:
         return []
-    total = np.concatenate(([0], np.cumsum(counts))).astype(np.float64)
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
+    sizes = [int(e) for e in edges]
+    total = [0, *np.cumsum(counts).tolist()]  # Python's integers: exact products
+    best: list[int | None] = [0] + [None] * n
     choice = []
     for _ in range(min(buckets, n)):
-        now, pick = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        now[0] = 0
+        now: list[int | None] = [0] + [None] * n
+        pick = np.zeros(n + 1, np.int64)
+        # a bucket that starts behind i and ends at size x costs best[i] - total[i] * x + total[j] * x: the lower
+        # envelope of lines that fall ever steeper, asked at growing x
+        hull, front = [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + edges[j - 1] * (total[j] - total[:j])
-            pick[j] = int(np.argmin(cost))
-            now[j] = cost[pick[j]]
+            i = j - 1
+            if best[i] is not None:
+                while len(hull) - front >= 2 and _covered(best, total, hull[-2], hull[-1], i):
+                    hull.pop()
+                hull.append(i)
+            x = sizes[j - 1]
+            while front + 1 < len(hull) and best[hull[front + 1]] - total[hull[front + 1]] * x < best[hull[front]] - total[hull[front]] * x:
+                front += 1
+            at = hull[front]
+            now[j], pick[j] = best[at] + x * (total[j] - total[at]), at
         best = now
         choice.append(pick)
     out, j = [], n
@@ -56,13 +72,11 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     a batch's documents times ``padded`` stay within ``budget`` unless it holds a single document.
     """
     rows = materialize(rows.select("doc_id", F.col("length").cast("long").alias("length")), "pack-lengths")
-    rows = rows.withColumn("s", F.greatest(F.lit(0), F.length(F.bin("length")) - 7))
-    rows = rows.withColumn("edge", F.expr("shiftleft(shiftright(length + shiftleft(1L, s) - 1, s), s)"))
-    bins = sorted(tuple(r) for r in rows.groupBy("edge").agg(F.count("*")).collect())
-    bounds = best_boundaries(np.array([b[0] for b in bins]), np.array([b[1] for b in bins]), buckets)
+    bins = rows.groupBy("length").agg(F.count("*").alias("n")).toArrow().sort_by("length")
+    bounds = best_boundaries(bins["length"].to_numpy(), bins["n"].to_numpy(), buckets)
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
     rows = rows.withColumn("bucket", F.size(F.filter(limits, lambda b: b < F.col("length"))))
-    rows = rows.withColumn("padded", F.element_at(limits, F.col("bucket") + 1)).drop("s", "edge")
+    rows = rows.withColumn("padded", F.element_at(limits, F.col("bucket") + 1))
     held = rows.groupBy("bucket").agg(F.count("*").alias("held"))
     slices = F.ceil(F.col("held") / SLICE_ROWS)
     rows = rows.join(F.broadcast(held), "bucket")  # at most ``buckets`` rows
