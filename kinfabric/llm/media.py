@@ -12,6 +12,7 @@ type ``application/octet-stream``; a magic number without a valid structure is n
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -131,16 +132,149 @@ def _wav(b: bytes, at: int) -> int | None:
     return 8 + struct.unpack_from("<I", b, at + 4)[0]
 
 
+def _crc(poly: int, width: int) -> list[int]:
+    """Table of a CRC, highest bit first."""
+    table = []
+    for x in range(256):
+        x <<= width - 8
+        for _ in range(8):
+            x = (x << 1) ^ (poly if x >> (width - 1) else 0)
+        table.append(x & ((1 << width) - 1))
+    return table
+
+
+_CRC8, _CRC16 = _crc(0x107, 8), _crc(0x18005, 16)
+#: Bits a sample by a frame header's code; 0 stands for the stream's own.
+_DEPTHS = {0: 0, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
+
+
+class _Bits:
+    """Reads bits, highest first; raises IndexError behind the end."""
+
+    def __init__(self, data: bytes):
+        self.bits, self.at = np.unpackbits(np.frombuffer(data, np.uint8)).tobytes(), 0
+
+    def skip(self, n: int) -> None:
+        self.at += n
+        if self.at > len(self.bits):
+            raise IndexError
+
+    def take(self, n: int) -> int:
+        self.skip(n)
+        return int(self.bits[self.at - n : self.at].translate(_DIGITS) or b"0", 2)
+
+    def ones(self, count: int, low: int) -> None:
+        """Skips ``count`` unary numbers with ``low`` bits behind each."""
+        find, bits, at = self.bits.find, self.bits, self.at
+        for _ in range(count):
+            at = find(b"\1", at) + 1
+            if not at:
+                raise IndexError
+            at += low
+        self.at = at
+        self.skip(0)
+
+
+_DIGITS = bytes([48, 49]) + bytes(range(2, 256))
+
+
+def _residual(bits: _Bits, block: int, order: int) -> None:
+    method, parts = bits.take(2), bits.take(4)
+    if method > 1 or block % (1 << parts) or block >> parts < order:
+        raise ValueError
+    for part in range(1 << parts):
+        n, low = (block >> parts) - (0 if part else order), bits.take(4 + method)
+        if low == (31 if method else 15):
+            bits.skip(n * bits.take(5))
+        else:
+            bits.ones(n, low)
+
+
+def _subframe(bits: _Bits, block: int, depth: int) -> None:
+    head = bits.take(8)
+    kind = head >> 1
+    if head & 1:
+        wasted = bits.bits.find(b"\1", bits.at) - bits.at + 1
+        if wasted < 1 or wasted >= depth:
+            raise ValueError
+        bits.skip(wasted)
+        depth -= wasted
+    if kind == 0:
+        bits.skip(depth)
+    elif kind == 1:
+        bits.skip(depth * block)
+    elif 8 <= kind <= 12:
+        bits.skip(depth * (kind - 8))
+        _residual(bits, block, kind - 8)
+    elif 32 <= kind < 64:
+        order = kind - 31
+        bits.skip(depth * order)
+        precision = bits.take(4) + 1
+        bits.skip(5 + precision * order)
+        _residual(bits, block, order)
+    else:
+        raise ValueError
+
+
+def _flac_frame(b: bytes, at: int, depth: int) -> tuple[int, int] | None:
+    """Bytes and samples of the frame at ``at``: header, subframes, and both checksums."""
+    head = b[at : at + 16]
+    if len(head) < 6 or head[0] != 0xFF or head[1] & 0xFE != 0xF8 or head[3] & 1:
+        return None
+    size, rate, channels = head[2] >> 4, head[2] & 15, head[3] >> 4
+    depth = _DEPTHS.get(head[3] >> 1 & 7, -1) or depth
+    wide = 8 - (head[4] ^ 255).bit_length()  # leading ones: bytes of the coded number
+    i = 4 + max(1, wide)
+    if size == 0 or rate == 15 or channels > 10 or depth < 0 or wide in (1, 8) or any(x & 0xC0 != 0x80 for x in head[5:i]):
+        return None
+    after = 1 if size == 6 else 2 if size == 7 else 0
+    block = 192 if size == 1 else 576 << (size - 2) if size < 6 else int.from_bytes(head[i : i + after]) + 1 if after else 256 << (size - 8)
+    i += after + (1 if rate == 12 else 2 if rate in (13, 14) else 0)
+    check = 0
+    for x in head[: i + 1]:
+        check = _CRC8[check ^ x]
+    if check or len(head) <= i:
+        return None
+    count, side = (channels + 1, -1) if channels < 8 else (2, {8: 1, 9: 0, 10: 1}[channels])
+    start, room = at + i + 1, count * (block * (depth + 1) // 4 + 1024)
+    while True:
+        bits = _Bits(b[start : start + room])
+        try:
+            for c in range(count):
+                _subframe(bits, block, depth + (c == side))
+            break
+        except ValueError:
+            return None
+        except IndexError:
+            if start + room >= len(b) or room >= 1 << 23:
+                return None
+            room *= 8
+    end = start + (bits.at + 7) // 8 + 2
+    check = 0
+    for x in b[at:end]:
+        check = (check << 8 & 0xFFFF) ^ _CRC16[check >> 8 ^ x]
+    return (end - at, block) if end <= len(b) and not check else None
+
+
 def _flac(b: bytes, at: int) -> int | None:
     i = at + 4
-    if i + 4 > len(b) or b[i] & 127 or int.from_bytes(b[i + 1 : i + 4]) != 34:
+    if i + 38 > len(b) or b[i] & 127 or int.from_bytes(b[i + 1 : i + 4]) != 34:
         return None
+    info = int.from_bytes(b[i + 14 : i + 22])
+    depth, samples = (info >> 36 & 31) + 1, info & ((1 << 36) - 1)
     while i + 4 <= len(b):
         last, n = b[i] & 128, int.from_bytes(b[i + 1 : i + 4])
         i += 4 + n
         if last:
-            return i - at if i <= len(b) else None
-    return None
+            break
+    else:
+        return None
+    if i > len(b):
+        return None
+    seen = 0
+    while (not samples or seen < samples) and (frame := _flac_frame(b, i, depth)):
+        i, seen = i + frame[0], seen + frame[1]
+    return i - at
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -153,16 +287,90 @@ def _ogg(b: bytes, at: int) -> int | None:
     return i - at if i > at else None
 
 
+#: kbit/s by version (1, or 2 and 2.5) and layer.
+_RATES = {
+    (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448), (1, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160), (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+
+
+def _mpeg_frame(b: bytes, i: int) -> tuple[int, int] | None:
+    """(bytes, what all frames of a stream share) of the MPEG or ADTS frame at ``i``; 0 bytes for a free bit rate."""
+    if i + 4 > len(b) or b[i] != 0xFF or b[i + 1] < 0xE0:
+        return None
+    version, layer = b[i + 1] >> 3 & 3, 4 - (b[i + 1] >> 1 & 3)
+    if layer == 4:  # ADTS
+        if b[i + 1] < 0xF0 or i + 6 > len(b) or b[i + 2] >> 2 & 15 > 12:
+            return None
+        n = (b[i + 3] & 3) << 11 | b[i + 4] << 3 | b[i + 5] >> 5
+        return (n, b[i + 1] << 8 | b[i + 2] & 0xFC) if n >= 7 else None
+    rate, hertz, pad = b[i + 2] >> 4, b[i + 2] >> 2 & 3, b[i + 2] >> 1 & 1
+    if version == 1 or rate == 15 or hertz == 3:
+        return None
+    same = (b[i + 1] & 0xFE) << 8 | hertz
+    if rate == 0:
+        return 0, same
+    hertz = (44100, 48000, 32000)[hertz] >> {3: 0, 2: 1, 0: 2}[version]
+    bits = _RATES[1 if version == 3 else 2, layer][rate - 1] * 1000
+    if layer == 1:
+        return (12 * bits // hertz + pad) * 4, same
+    return (72 if layer == 3 and version != 3 else 144) * bits // hertz + pad, same
+
+
+def _free(b: bytes, i: int, same: int) -> int:
+    """Bytes of the frame of a free bit rate at ``i``: up to the next header like its own, or 0."""
+    at = b.find(b[i : i + 2], i + 4)
+    while at >= 0:
+        if _mpeg_frame(b, at) == (0, same):
+            return at - i
+        at = b.find(b[i : i + 2], at + 1)
+    return 0
+
+
 def _mp3(b: bytes, at: int) -> int | None:
     if at + 10 > len(b) or b[at + 3] not in (2, 3, 4) or max(b[at + 6 : at + 10]) > 127:
         return None
-    n = 10 + sum(x << s for x, s in zip(b[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
-    return n if b[at + n : at + n + 1] == b"\xff" and len(b) > at + n + 1 and b[at + n + 1] >= 0xE0 else None
+    i = at + 10 + sum(x << s for x, s in zip(b[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
+    if b[at + 3] == 4 and b[at + 5] & 16:
+        i += 10  # the tag's footer
+    first, free, begun = _mpeg_frame(b, i), 0, i
+    while first and (frame := _mpeg_frame(b, i)) and frame[1] == first[1]:
+        n = frame[0]
+        if not n:  # all frames of a free bit rate are alike but for a byte of padding
+            pad = (b[i + 2] >> 1 & 1) * (4 if first[1] >> 9 & 3 == 3 else 1)
+            free = free or _free(b, i, first[1]) - pad
+            n = free + pad
+        if n < 4 or i + n > len(b):
+            break
+        i += n
+    if i == begun:
+        return None
+    if b[i : i + 8] == b"APETAGEX" and i + 32 <= len(b):
+        n = struct.unpack_from("<I", b, i + 12)[0] + 32
+        i += n if i + n <= len(b) else 0
+    return (i + 128 if b[i : i + 3] == b"TAG" and i + 128 <= len(b) else i) - at
+
+
+_PDF_END = re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
+_XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
 
 
 def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+    """Up to the last %%EOF whose startxref leads to a table of this file; if none does, the last before another file.
+
+    An update's table stands behind the %%EOF before it. Only the first startxref that leads anywhere may lead back
+    behind another %%EOF, as in linearized files.
+    """
+    ends, end = list(_PDF_END.finditer(b, at)), 0
+    for m in ends:
+        table = at + int(m[1])
+        if max(at + 1, end) <= table < m.start() and _XREF.match(b, table):
+            end = m.end()
+    if not end:
+        other = b.find(b"%PDF-1.", at + 1)
+        end = max((m.end() for m in ends if other < 0 or m.end() <= other), default=0)
+    return end - at if end else None
 
 
 def _gzip(b: bytes, at: int) -> int | None:
