@@ -2,11 +2,12 @@
 
 The text view describes what is said (classes of characters, words, repetition, also of the worst eighth);
 the page view describes how and where it stands (language, source, length, lines). Each view has a logistic
-classifier. In each round the confident labels of one view on unlabelled documents join the other's
-training set. Both are calibrated on held-out labels, combined there, and score all documents.
+classifier. In each round all confident labels of one view on unlabelled documents join the other's
+training set, where the first label stays. Both are calibrated on held-out labels, combined there, and score all documents.
 
-Features are computed once for all documents. The driver fits on at most ``MOST_LABELLED`` labelled and
-``MOST_POOL`` unlabelled documents, drawn by a hash of the id; scoring covers every row.
+Features are computed once for all documents. The driver holds at most ``MOST_LABELLED`` labelled documents,
+drawn by a hash of the id. The unlabelled ones are all used: executors find their labels from the classifiers
+of the rounds before, and send sums (moments, gradients, Hessians) for the fit; scoring covers every row.
 
 Defined cases: null and empty texts score by their (zero) features; a null language or source is a value of
 its own; labels that contradict each other count as their majority, ties as good; null labels are left out;
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfabric.llm.hashing import word_hashes
-from kinfabric.llm.shared import documents, materialize
+from kinfabric.llm.shared import discard, documents, materialize
 
-MOST_LABELLED, MOST_POOL, ROUNDS, CONFIDENT, THRESHOLD = 8_000, 8_000, 4, 0.97, 0.5
+MOST_LABELLED, ROUNDS, CONFIDENT, THRESHOLD = 8_000, 4, 0.97, 0.5
 _CLASS = np.full(256, 6, np.uint8)
 _CLASS[ord("A") : ord("Z") + 1] = 0
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -132,41 +133,119 @@ class Logistic:
         return self.a * self.raw(x) + self.b
 
 
-def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, held: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray, rounds: int = ROUNDS):
-    """(text classifier, page classifier, weights of their calibrated logits and a constant)."""
-    sets = [[text[~held], y[~held]], [page[~held], y[~held]]]
-    pools, mine = [pool_text, pool_page], [text, page]
-    taken = [np.zeros(len(pool_text), bool), np.zeros(len(pool_text), bool)]
+def _lists(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(rows, -1).astype(np.float64)
+
+
+def _taught(past: list[list[Logistic]], views: list[np.ndarray]) -> list[np.ndarray]:
+    """For each view, the labels that the other view's classifiers of past rounds gave, the first confident one each; else NaN."""
+    out = [np.full(len(x), np.nan) for x in views]
+    for models in past:
+        for view, model in enumerate(models):
+            p = _sigmoid(model.logit(views[view]))
+            labels = out[1 - view]
+            fresh = np.isnan(labels) & (np.maximum(p, 1 - p) >= CONFIDENT)
+            labels[fresh] = p[fresh] > 0.5
+    return out
+
+
+def _summed(pool: DataFrame, of, sizes: list[int]) -> list[np.ndarray]:
+    """The sum over the pool of the arrays, of the given sizes, that ``of`` makes of a batch's views; added up on the executors."""
+
+    def add(parts):
+        total = np.zeros(sum(sizes))
+        for part in parts:
+            total += part
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def run(batches):
+        views = ([_lists(batch.column(i), batch.num_rows) for i in (0, 1)] for batch in batches if batch.num_rows)
+        yield from add(np.concatenate([x.ravel() for x in of(v)]) for v in views)
+
+    def join(batches):
+        yield from add(np.frombuffer(x.as_py()) for batch in batches for x in batch.column(0))
+
+    rows = pool.select("text_view", "page_view").mapInArrow(run, "sums binary").repartition(8).mapInArrow(join, "sums binary").collect()
+    total = sum((np.frombuffer(r.sums) for r in rows), np.zeros(sum(sizes)))
+    return np.split(total, np.cumsum(sizes)[:-1])
+
+
+def _moments(x: np.ndarray) -> list[np.ndarray]:
+    return [np.array([float(len(x))]), x.sum(0), (x * x).sum(0)]
+
+
+def _slopes(model: Logistic, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Gradient and Hessian of the log loss."""
+    z = np.hstack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones((len(x), 1))])
+    p = _sigmoid(z @ model.weights)
+    return [z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z]
+
+
+def _fit_all(pool: DataFrame, past: list[list[Logistic]], sets: list[tuple[np.ndarray, np.ndarray]], penalty: float = 1.0) -> list[Logistic]:
+    """:meth:`Logistic.fit` of both views on the labelled rows and all that the past rounds teach of the pool."""
+    widths = [x.shape[1] for x, _ in sets]
+
+    def moments(views):
+        return [m for x, y in zip(views, _taught(past, views), strict=True) for m in _moments(x[~np.isnan(y)])]
+
+    sums = _summed(pool, moments, [n for w in widths for n in (1, w, w)])
+    models = []
+    for view, (x, _) in enumerate(sets):
+        n, one, two = (a + b for a, b in zip(_moments(x), sums[3 * view : 3 * view + 3], strict=True))
+        mean = one / n
+        scale = np.sqrt(np.maximum(two / n - mean * mean, 0)) + 1e-6
+        old = past[-1][view]
+        start = old.weights[:-1] / old.scale
+        models.append(Logistic(mean, scale, np.append(start * scale, old.weights[-1] + start @ (mean - old.mean))))
+    for _ in range(25):
+
+        def slopes(views, models=models):
+            return [s for m, x, y in zip(models, views, _taught(past, views), strict=True) for s in _slopes(m, x[~np.isnan(y)], y[~np.isnan(y)])]
+
+        sums, most = _summed(pool, slopes, [n for w in widths for n in (w + 1, (w + 1) ** 2)]), 0.0
+        moved = []
+        for view, (m, (x, y)) in enumerate(zip(models, sets, strict=True)):
+            slope, bend = _slopes(m, x, y)
+            ridge = np.eye(len(slope)) * penalty
+            ridge[-1, -1] = 1e-6
+            slope = slope + sums[2 * view] + ridge @ m.weights
+            step = np.linalg.solve(bend + sums[2 * view + 1].reshape(bend.shape) + ridge, slope)
+            moved.append(Logistic(m.mean, m.scale, m.weights - step))
+            most = max(most, np.abs(step).max())
+        models = moved
+        if most < 1e-6:
+            break
+    return models
+
+
+def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame, rounds: int = ROUNDS):
+    """(text classifier, page classifier, weights of their calibrated logits and a constant).
+
+    ``pool`` has text_view and page_view of all unlabelled documents; only sums over it come to the driver.
+    """
+    mine, past = [text, page], []
+    sets = [(x[~held], y[~held]) for x in mine]
+    models = [Logistic.fit(*s) for s in sets]
     for step in range(rounds + 1):
-        models = [Logistic.fit(x, labels) for x, labels in sets]
         for model, x in zip(models, mine, strict=True):
             model.calibrate(x[held], y[held])
-        if step == rounds or not len(pool_text):
+        if step == rounds:
             break
-        for view, model in enumerate(models):
-            other, p = 1 - view, _sigmoid(model.logit(pools[view]))
-            sure = np.maximum(p, 1 - p) >= CONFIDENT
-            fresh = np.flatnonzero(sure & ~taken[other])
-            # the surest of each class first, as many a round as there are labels in the class
-            for label in (0, 1):
-                same = fresh[(p[fresh] > 0.5) == label]
-                same = same[np.argsort(-np.abs(p[same] - 0.5), kind="stable")][: int((y == label).sum())]
-                taken[other][same] = True
-                sets[other] = [np.vstack([sets[other][0], pools[other][same]]), np.concatenate([sets[other][1], np.full(len(same), label)])]
+        past.append(models)
+        models = _fit_all(pool, past, sets)
     both = np.stack([m.logit(x[held]) for m, x in zip(models, mine, strict=True)], 1)
     joint = Logistic.fit(both, y[held])
     w = joint.weights[:2] / joint.scale
     return models[0], models[1], (float(w[0]), float(w[1]), float(joint.weights[2] - w @ joint.mean))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED, most_pool: int = MOST_POOL) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """(doc_id, text_score, page_score, score, keep), one row per row of ``docs``."""
     table = materialize(views(docs), "quality-views")
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     known = table.join(marks, "doc_id").orderBy(*order).limit(most_labelled).toArrow()
-    pool = table.join(marks, "doc_id", "left_anti").where("doc_id IS NOT NULL").orderBy(*order).limit(most_pool).toArrow()
     schema = "doc_id long, text_score double, page_score double, score double, keep boolean"
     stack = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), -1).astype(np.float64) if len(c) else np.zeros((0, 1))
     y = known["y"].to_numpy().astype(np.float64)
@@ -174,7 +253,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return table.select("doc_id", *[F.lit(1.0).alias(c) for c in ("text_score", "page_score", "score")], F.lit(True).alias("keep"))
     text, page = stack(known["text_view"]), stack(known["page_view"])
-    of_text, of_page, (a, b, c) = cotrain(text, page, y, held, stack(pool["text_view"]), stack(pool["page_view"]))
+    pool = table.join(marks, "doc_id", "left_anti").where("doc_id IS NOT NULL").select("text_view", "page_view")
+    pool = materialize(pool, "quality-pool")
+    of_text, of_page, (a, b, c) = cotrain(text, page, y, held, pool)
+    discard(pool)
 
     def run(batches):
         for batch in batches:
