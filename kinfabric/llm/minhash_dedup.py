@@ -3,8 +3,9 @@
 A document's set of word shingles gives ``positions`` b-bit MinHash values. They are cut into chunks;
 by the pigeonhole principle two signatures that differ in at most ``chunks * (errors + 1) - 1`` positions
 have a chunk with at most ``errors`` differences, so entering every chunk under each choice of ``errors``
-left-out positions finds all such pairs. With the defaults (50 positions, 10 chunks of 5, one error) the
-guaranteed distance is 19 of 50; a pair at similarity 0.85 is beyond it with probability 1e-5.
+left-out positions finds all such pairs. The threshold gives the number of chunks: at 0.85 it is 10 (of 5, one
+error) and the guaranteed distance 19 of 50, which a pair on the threshold exceeds with probability 1.6e-5; at
+0.8 it is 12 (of 4 or 5) and 23, exceeded with probability 8.3e-6.
 
 Candidates are confirmed by the exact similarity of the full shingle sets. Pairs of a bucket are never
 all emitted. In a few rounds each document is tried against the nearest of its buckets' pivots, one id a
@@ -25,6 +26,7 @@ rows with a null doc_id link with nothing and are kept with a null component.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +39,27 @@ from kinfabric.llm.shared import discard, documents, materialize
 
 POSITIONS, CHUNKS, ERRORS = 50, 10, 1
 ROUNDS, TILE, FINE = 2, 2048, 1024
-_WIDTH = POSITIONS // CHUNKS
-#: The positions of each index key: a chunk less each choice of left-out ones.
-PLACES = [
-    tuple(c * _WIDTH + p for p in places)
-    for c in range(CHUNKS)
-    for places in itertools.combinations(range(_WIDTH), _WIDTH - ERRORS)
-]
+#: A pair on the threshold is beyond the guaranteed distance with at most this probability.
+MISS = 2e-5
+
+
+def chunks_for(percent: int) -> int:
+    """The fewest chunks, ``CHUNKS`` at least, whose guaranteed distance a pair on the threshold exceeds with at most ``MISS``."""
+    q = (1 - percent / 100) * (1 - 2.0**-16)
+    for chunks in range(CHUNKS, POSITIONS // (ERRORS + 1)):
+        over = range(chunks * (ERRORS + 1), POSITIONS + 1)
+        if sum(math.comb(POSITIONS, k) * q**k * (1 - q) ** (POSITIONS - k) for k in over) <= MISS:
+            return chunks
+    return POSITIONS // (ERRORS + 1)
+
+
+def places_of(chunks: int) -> list[tuple[int, ...]]:
+    """The positions of each index key: a chunk less each choice of left-out ones."""
+    cuts = [POSITIONS * c // chunks for c in range(chunks + 1)]
+    return [places for a, b in itertools.pairwise(cuts) for places in itertools.combinations(range(a, b), b - a - ERRORS)]
+
+
+PLACES = places_of(CHUNKS)
 _A = mix(np.arange(1, POSITIONS + 1, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 _B = mix(_A + U64(7))
 
@@ -125,22 +141,22 @@ def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
 
 
-def index_keys(classes: DataFrame) -> DataFrame:
+def index_keys(classes: DataFrame, index: list[tuple[int, ...]] = PLACES) -> DataFrame:
     """(key, k, id): each signature under every chunk and every choice of left-out positions, numbered k."""
 
     def run(batches):
         for batch in batches:
             sig = _sigs(batch.column(1)).astype(U64)
-            keys = np.empty((len(sig), len(PLACES)), U64)
+            keys = np.empty((len(sig), len(index)), U64)
             with np.errstate(over="ignore"):
-                for k, places in enumerate(PLACES):
+                for k, places in enumerate(index):
                     key = np.zeros(len(sig), U64)
                     for p in places:
                         key = (key << U64(16)) | sig[:, p]
                     keys[:, k] = mix(mix(key) + U64(1 + k))
             flat = pa.array(keys.reshape(-1).view(np.int64))
-            numbers = pa.array(np.tile(np.arange(len(PLACES), dtype=np.int16), len(sig)))
-            ids = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(PLACES)))
+            numbers = pa.array(np.tile(np.arange(len(index), dtype=np.int16), len(sig)))
+            ids = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(index)))
             yield pa.RecordBatch.from_arrays([flat, numbers, ids], ["key", "k", "id"])
 
     return classes.select("id", "sig").mapInArrow(run, "key long, k short, id long")
@@ -188,7 +204,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.join(two, "b").join(one, "a").where(linked).select("a", "b").distinct(), "near-links")
 
 
-def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int, nearest: bool = False) -> DataFrame:
+def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int, nearest: bool = False, index: list[tuple[int, ...]] = PLACES) -> DataFrame:
     """(a, b, distance) of one bucket, in different components, at most ``reach`` and ``fine`` positions apart.
 
     ``distance`` is that of the second signatures; with ``nearest``, a row of a tile has one partner at most.
@@ -221,7 +237,7 @@ def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int, neare
             hit, apart_by = hit[apart_by <= fine], apart_by[apart_by <= fine]
             if len(hit):
                 earlier = np.zeros(len(hit), bool)
-                for places in PLACES[:k]:
+                for places in index[:k]:
                     at = list(places)
                     earlier |= (sig[hit][:, at] == sig[i][at]).all(axis=1)
                 hit, apart_by = hit[~earlier], apart_by[~earlier]
@@ -272,12 +288,13 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     Links need 100 * |A & B| >= percent * |A | B| on n-word shingles; component_id is the smallest
     doc_id reachable, and kept says whether it is the document's own.
     """
-    reach = CHUNKS * (ERRORS + 1) - 1
+    chunks = chunks_for(percent)
+    reach, index = chunks * (ERRORS + 1) - 1, places_of(chunks)
     marks = materialize(signatures(docs, n), "near-signatures")
     sets = marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles")
     sets = materialize(sets.agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "near-classes")
 
-    keys = index_keys(sets)
+    keys = index_keys(sets, index)
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     members = materialize(keys.join(shared.select("key"), "key"), "near-buckets")
     full = materialize(_full_sets(members.select("id").distinct(), docs, n), "near-sets")
@@ -300,7 +317,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
             if step == ROUNDS:
                 left = full.join(members.select("id").distinct(), "id", "left_semi")
                 wide = materialize(_fine(left).join(sets.select("id", "sig"), "id"), "near-fine")
-            near = _apart_pairs(members.select("key", "k", "id", "c"), wide, reach, fine_reach(percent), step == ROUNDS)
+            near = _apart_pairs(members.select("key", "k", "id", "c"), wide, reach, fine_reach(percent), step == ROUNDS, index)
         if step <= ROUNDS:
             near = near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
         else:
