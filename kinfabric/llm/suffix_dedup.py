@@ -2,21 +2,26 @@
 
 A string of ``LENGTH`` bytes is judged where it meets its equals: at its minimizer, the smallest hash of
 its ``MARK``-byte strings, the leftmost of equals. Consecutive strings of a document with their minimizer at
-the same place form one stretch, so equal strings always lie in different stretches with one minimizer.
-Three cases follow, each exact:
-
-* a stretch that occurs twice or more with the same bytes: all its strings repeat;
-* a minimizer of one stretch only: its strings don't repeat;
-* a minimizer of several different stretches: their bytes go into suffix arrays (two-stage sorting), and
-  adjacent common prefixes of LENGTH bytes or more show the strings that repeat. A minimizer with more than
-  ``MOST`` different stretches is judged string by string instead, on 128-bit hashes that are
-  pre-aggregated, so that no group is collected into one task.
-
-Only hashes of all stretches are shuffled; bytes move for the third case alone. The first case compares
-128-bit hashes of the bytes.
-
-Defined cases: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; rows that
-repeat are occurrences of their own; null ids are reported as they are; matches never cross rows.
+the same place form one stretch, so equal strings always lie in different stretches with one minimizer, at
+one distance from it.
+
+Stretches with the same bytes (128-bit hash) are one stretch with a count before anything is sorted; in a
+suffix array they would stand side by side with common prefixes of LENGTH bytes or more, so all strings of one
+that occurs twice repeat. The different stretches of a minimizer, one copy of each, go into a suffix array
+(two-stage sorting), whose adjacent common prefixes of LENGTH bytes or more show the strings that repeat.
+
+A minimizer with more stretches than one array should hold (``ARRAY_ROWS``) is dealt out further, by content:
+its stretches are cut by distance from the minimizer into pieces of ``SPREADS[0]`` strings, pieces meet where the
+bytes that all strings of the piece share agree, equal pieces become one with a count, and the rest is sorted as
+above or cut again, down to single strings. Equal strings stay together at each level, so the results don't
+depend on these sizes, and no group is collected into one task.
+
+Only hashes of all stretches are shuffled; bytes move for minimizers of several stretches alone.
+
+Defined cases: null and empty texts have no bytes; texts under LENGTH bytes lose nothing; texts of any length
+are read in chunks of 1 MiB that overlap, without loss at the seams; rows that repeat are occurrences of their
+own; null ids are reported as they are; matches never cross rows; only doc_id and text are read, so other
+columns don't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfabric.llm.hashing import CHUNK, U64, byte_windows, cover, runs, sliding_min
-from kinfabric.llm.shared import documents, materialize, row_key, small_batches
+from kinfabric.llm.shared import discard, documents, materialize, row_key, small_batches
 from kinfabric.llm.suffix_array import repeated_starts
 
 LENGTH, MARK = 200, 48
-#: Different stretches of one minimizer in a suffix array at most, and bytes of one array.
-MOST, ARRAY_BYTES = 1000, 1 << 18
+#: Stretches of one group in a suffix array at most, and bytes after which no more groups join an array.
+ARRAY_ROWS, ARRAY_BYTES = 1000, 1 << 18
+#: Strings of a piece, level by level, where a group is too large for one array.
+SPREADS = (32, 8, 2, 1)
 #: The lower bits hold a place in a chunk.
 _UPPER = U64(2**64 - 2 * CHUNK)
 
@@ -94,8 +101,8 @@ def stretches(docs: DataFrame) -> DataFrame:
 
 
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(mini, seg, hot, bytes) for (rk, start, count, mini, seg, hot)."""
-    lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("start", "count", "mini", "seg", "hot")).alias("wanted"))
+    """(grp, seg, kinds, mark, bytes) for (rk, start, count, mini, seg, kinds); mark is the minimizer's place in the bytes."""
+    lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("start", "count", "mini", "seg", "kinds")).alias("wanted"))
 
     def run(batches):
         for batch in batches:
@@ -103,43 +110,42 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 rows = asked.as_py()
                 parts = [data[r["start"] : r["start"] + r["count"] + LENGTH - 1] for r in rows]
+                places = [int(np.argmin(byte_windows(np.frombuffer(part[:LENGTH], np.uint8), MARK) & _UPPER)) for part in parts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r["mini"] for r in rows], pa.int64()),
                         pa.array([r["seg"] for r in rows], pa.binary()),
-                        pa.array([r["hot"] for r in rows], pa.bool_()),
+                        pa.array([r["kinds"] for r in rows], pa.int64()),
+                        pa.array(places, pa.int32()),
                         pa.array(parts, pa.binary()),
                     ],
-                    ["mini", "seg", "hot", "bytes"],
+                    ["grp", "seg", "kinds", "mark", "bytes"],
                 )
 
     texts = _keyed(docs).join(lists, "rk").select("text", "wanted")
-    return texts.mapInArrow(run, "mini long, seg binary, hot boolean, bytes binary")
+    return texts.mapInArrow(run, "grp long, seg binary, kinds long, mark int, bytes binary")
 
 
-def _flag_rows(mini: list, seg: list, parts: list[bytes]):
+def _flag_rows(grp: list, seg: list, parts: list[bytes]):
     flags, at = repeated_starts(parts, LENGTH), 0
-    for m, s, part in zip(mini, seg, parts, strict=True):
+    for g, s, part in zip(grp, seg, parts, strict=True):
         start, end = runs(flags[at : at + len(part)])
         at += len(part) + 1
         if len(start):
-            yield m, s, start.tolist(), end.tolist()
-
-
-_FLAGS = "mini long, seg binary, starts array<int>, ends array<int>"
+            yield g, s, start.tolist(), end.tolist()
 
 
 def _by_suffix_arrays(parts: DataFrame) -> DataFrame:
-    """(mini, seg, starts, ends): runs of repeated strings in stretches that share a minimizer.
+    """(grp, seg, starts, ends): runs of repeated strings in stretches of one group.
 
-    The rows come sorted by minimizer; whole minimizers are gathered up to ARRAY_BYTES and sorted together.
+    The rows come sorted by group; whole groups are gathered up to ARRAY_BYTES and sorted together.
     """
 
     def run(batches):
-        minis, segs, texts, size, last = [], [], [], 0, None
+        groups, segs, texts, size, last = [], [], [], 0, None
 
         def flush():
-            rows = list(_flag_rows(minis, segs, texts)) if texts else []
+            rows = list(_flag_rows(groups, segs, texts)) if texts else []
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int64()),
@@ -147,50 +153,78 @@ def _by_suffix_arrays(parts: DataFrame) -> DataFrame:
                     pa.array([r[2] for r in rows], pa.list_(pa.int32())),
                     pa.array([r[3] for r in rows], pa.list_(pa.int32())),
                 ],
-                ["mini", "seg", "starts", "ends"],
+                ["grp", "seg", "starts", "ends"],
             )
 
         for batch in batches:
             columns = (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            for m, s, text in zip(*columns, strict=True):
-                if m != last and size >= ARRAY_BYTES:
+            for g, s, text in zip(*columns, strict=True):
+                if g != last and size >= ARRAY_BYTES:
                     yield flush()
-                    minis, segs, texts, size = [], [], [], 0
-                last = m
-                minis.append(m)
+                    groups, segs, texts, size = [], [], [], 0
+                last = g
+                groups.append(g)
                 segs.append(s)
                 texts.append(text)
                 size += len(text)
         yield flush()
 
-    parts = parts.select("mini", "seg", "bytes").repartition("mini").sortWithinPartitions("mini")
-    return parts.mapInArrow(run, _FLAGS)
+    parts = parts.select("grp", "seg", "bytes").repartition("grp").sortWithinPartitions("grp")
+    return parts.mapInArrow(run, "grp long, seg binary, starts array<int>, ends array<int>")
 
 
-def _by_strings(parts: DataFrame) -> DataFrame:
-    """The same for minimizers of very many stretches, by the 128-bit hash of each string."""
+def _pieces(part: bytes, mark: int, spread: int):
+    """(first string, core, bytes) of the pieces of a stretch; the core is what all strings of a piece share, told apart by its distance from the mark."""
+    strings = len(part) - LENGTH + 1
+    for j in range(max(0, mark - strings + 1) // spread, mark // spread + 1):
+        near, far = mark - spread * j, mark - spread * j - spread + 1
+        low, high = max(0, far), min(strings - 1, near)
+        core = hashlib.blake2b(part[near : far + LENGTH] + j.to_bytes(2), digest_size=8).digest()
+        yield low, core, part[low : high + LENGTH]
+
+
+def _cut(parts: DataFrame, spread: int) -> DataFrame:
+    """(grp, seg, first, core, sub, mark, bytes): the pieces of the stretches; sub is a 16-byte hash of the bytes."""
 
     def run(batches):
         for batch in batches:
-            for m, s, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                buf = np.frombuffer(text.as_py(), np.uint8)
-                one, two = (byte_windows(buf, LENGTH, seed).view(np.int64) for seed in (11, 23))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([m.as_py()] * len(one), pa.int64()),
-                        pa.array([s.as_py()] * len(one), pa.binary()),
-                        pa.array(np.arange(len(one), dtype=np.int32)),
-                        pa.array(one),
-                        pa.array(two),
-                    ],
-                    ["mini", "seg", "at", "w1", "w2"],
-                )
+            rows = []
+            for i in range(batch.num_rows):
+                g, s, mark, part = (batch.column(c)[i].as_py() for c in ("grp", "seg", "mark", "bytes"))
+                for first, core, piece in _pieces(part, mark, spread):
+                    sub = hashlib.blake2b(piece, digest_size=16).digest()
+                    rows.append((g, s, first, int.from_bytes(core, signed=True), sub, mark - first, piece))
+            types = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, ["grp", "seg", "first", "core", "sub", "mark", "bytes"])
+
+    return parts.select("grp", "seg", "mark", "bytes").mapInArrow(
+        run, "grp long, seg binary, first int, core long, sub binary, mark int, bytes binary"
+    )
+
 
-    strings = parts.select("mini", "seg", "bytes").mapInArrow(run, "mini long, seg binary, at int, w1 long, w2 long")
-    strings = materialize(strings, "suffix-strings")
-    again = strings.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    found = strings.join(again, ["w1", "w2"]).groupBy("mini", "seg").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    return found.select("mini", "seg", "starts", F.transform("starts", lambda x: x + 1).alias("ends"))
+def _several(kinds: DataFrame) -> DataFrame:
+    """(grp, kinds) of groups of two or more different stretches; written, so that a join with it can split a hot group."""
+    return materialize(kinds.groupBy("grp").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-several")
+
+
+def settled(parts: DataFrame, level: int = 0) -> DataFrame:
+    """(grp, seg, starts, ends) for (grp, seg, kinds, mark, bytes), one row for each different stretch of a group."""
+    large = parts.where(F.col("kinds") > ARRAY_ROWS)
+    if level == len(SPREADS) or large.isEmpty():
+        return _by_suffix_arrays(parts)
+    found = _by_suffix_arrays(parts.where(F.col("kinds") <= ARRAY_ROWS))
+    pieces = materialize(_cut(large, SPREADS[level]), "suffix-pieces")
+    subs = pieces.groupBy(F.col("core").alias("grp"), F.col("sub").alias("seg")).agg(
+        F.count("*").alias("n"), F.first("mark").alias("mark"), F.first("bytes").alias("bytes")
+    )
+    subs = materialize(subs, "suffix-subs")
+    again = subs.where("n > 1").select("grp", "seg", F.array(F.lit(0)).alias("starts"), F.array(F.length("bytes") - LENGTH + 1).alias("ends"))
+    deeper = settled(subs.drop("n").join(_several(subs), "grp"), level + 1)
+    flags = materialize(again.union(deeper).select(F.col("grp").alias("core"), F.col("seg").alias("sub"), "starts", "ends"), "suffix-flags")
+    shift = lambda c: F.transform(c, lambda x: x + F.col("first"))
+    mine = pieces.drop("bytes", "mark").join(flags, ["core", "sub"])
+    return found.union(mine.select("grp", "seg", shift("starts").alias("starts"), shift("ends").alias("ends")))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -198,17 +232,16 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     table = materialize(stretches(docs), "suffix-stretches")
     one = F.min(F.struct("rk", "start", "count")).alias("at")
-    distinct = table.groupBy("mini", "seg").agg(F.sum("times").alias("n"), one)
-    minis = table.groupBy("mini").agg(F.sum("times").alias("n")).where("n > 1").select("mini")
-    distinct = materialize(distinct.join(minis, "mini"), "suffix-distinct")
-    several = distinct.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = distinct.join(several, "mini").select("at.*", "mini", "seg", (F.col("kinds") > MOST).alias("hot"))
+    kinds = table.groupBy(F.col("mini").alias("grp"), "seg").agg(F.sum("times").alias("n"), one)
+    twice = materialize(table.groupBy(F.col("mini").alias("grp")).agg(F.sum("times").alias("n")).where("n > 1").select("grp"), "suffix-twice")
+    kinds = materialize(kinds.join(twice, "grp"), "suffix-kinds")
+    discard(twice)
+    wanted = kinds.join(_several(kinds), "grp").select("at.*", F.col("grp").alias("mini"), "seg", "kinds")
     parts = materialize(_bytes_of(docs, wanted), "suffix-bytes")
-    found = _by_suffix_arrays(parts.where("NOT hot")).union(_by_strings(parts.where("hot")))
-    whole = distinct.where("n > 1").select(
-        "mini", "seg", F.array(F.lit(0)).alias("starts"), F.array(F.lit(-1)).alias("ends")
-    )
-    flagged = materialize(whole.union(found), "suffix-flags")
+    whole = kinds.where("n > 1").select("grp", "seg", F.array(F.lit(0)).alias("starts"), F.array(F.lit(-1)).alias("ends"))
+    flagged = whole.union(settled(parts)).withColumnRenamed("grp", "mini")
+    flagged = materialize(flagged, "suffix-flagged")
+    discard(parts, kinds)
     end = lambda x: F.when(x < 0, F.col("count") * F.col("times")).otherwise(x)  # noqa: E731  -1: all strings
     at = table.join(flagged, ["mini", "seg"]).select(
         "rk",

@@ -71,7 +71,7 @@ def test_suffix_array_random():
 
 @pytest.mark.parametrize("most", [1000, 1])
 def test_op1(spark, rows, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    monkeypatch.setattr(suffix_dedup, "ARRAY_ROWS", most)
     data = [(i, (t or "").encode()) for i, t in [*rows, *ODD, (3, "a" * 900)]]
     counts = collections.Counter(b[s : s + 200] for _, b in data for s in range(len(b) - 199))
     want = []
