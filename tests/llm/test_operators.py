@@ -145,11 +145,19 @@ def test_op5(spark, rows):
     assert carved.type == "audio/wav" and bytes(carved.carved[0]["bytes"]) == png
 
 
-@pytest.mark.parametrize("block", [7, 1 << 16])
+@pytest.mark.parametrize("block", [5, 7, 1 << 16])
 def test_op6(spark, rows, block):
     encode = tokens.encoder(tokens.TOKENIZER).encode_ordinary
-    want = sorted(((i, len(encode(t or ""))) for i, t in [*rows, *ODD]), key=str)
-    assert sorted(map(tuple, tokens.count_tokens(frame(spark, [*rows, *ODD]), block=block).collect()), key=str) == want
+    data = [*rows, *ODD, (-5, "a negative id"), ((1 << 63) - 1, "the largest id"), (-(1 << 63), "")]
+    want = sorted(((i, len(encode(t or ""))) for i, t in data), key=str)
+    assert sorted(map(tuple, tokens.count_tokens(frame(spark, data), block=block).collect()), key=str) == want
+
+
+def test_op6_files_are_flat(spark, rows, tmp_path):
+    tokens.write_flat_files(tokens.token_lists(frame(spark, rows)), str(tmp_path / "flat"))
+    ids = np.concatenate([np.fromfile(f, "<u2") for f in sorted((tmp_path / "flat").glob("part-*"))])
+    encode = tokens.encoder(tokens.TOKENIZER).encode_ordinary
+    assert len(ids) == sum(len(encode(t or "")) + tokens.LEAD + 1 for _, t in rows) and (ids == tokens.EOD).sum() == len(rows)
 
 
 def test_op6_files(spark, tmp_path):
