@@ -7,8 +7,11 @@ in it. Inside a bucket, batches hold as many documents as the token budget pays
 padded length. Ranks inside a bucket come from slices of about ``SLICE_ROWS`` documents and offsets, so a
 bucket that holds a third of all rows is no single task.
 
-Defined cases: null and empty texts have length 0; a document longer than the budget is a batch of its own;
-rows that repeat are packed each on their own; an empty table gives an empty result.
+Lengths are tokens; ``pack`` takes any others.
+
+Defined cases: null and empty texts have length 0; a document longer than the budget is a batch of its own, however
+long; documents of one length are ordered by doc_id (nulls first), and rows that repeat are packed each on their own;
+only doc_id and text are read, so other columns don't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfabric.llm.mixing import word_count
-from kinfabric.llm.shared import documents, materialize
+from kinfabric.llm.shared import documents, materialize, small_batches
+from kinfabric.llm.tokens import TOKENIZER, token_lengths
 
 BUCKETS, BUDGET, SLICE_ROWS = 16, 16384, 4096
 
@@ -94,9 +97,10 @@ def pack(rows: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     )
 
 
-def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """:func:`pack` with words as lengths."""
-    return pack(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("length")), buckets, budget)
+def pack_documents(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, path: str = TOKENIZER) -> DataFrame:
+    """:func:`pack` with tokens as lengths; ``path`` is the tokenizer's vocabulary."""
+    small_batches(docs.sparkSession)
+    return pack(token_lengths(docs, path), buckets, budget)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
