@@ -10,9 +10,12 @@ found. All other windows are unique and never leave their task.
 Documents with equal word sequences are one class; only rows of the class's smallest doc_id enter the
 search, the others go whole (if they have a window at all).
 
-Defined cases: null texts have no words; texts shorter than a window lose nothing; rows with a null
-doc_id are left whole and remove nothing elsewhere; rows that share a doc_id don't remove one another's
-words, and each is reported on its own.
+Hashes of words, windows and sequences are 128 bits from two independent 64-bit hashes; words are not compared again.
+
+Defined cases: null texts have no words; texts shorter than a window lose nothing; texts of any length are one row;
+rows with a null doc_id are left whole and remove nothing elsewhere; rows that share a doc_id don't remove one another's
+words, and each is reported on its own; only doc_id and text are read, so other columns don't clash; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -40,18 +43,24 @@ def _places(n: int) -> np.ndarray:
     return at[_COVERED[at % PERIOD]]
 
 
-def _words(text) -> np.ndarray:
-    return word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"))
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each word: words that agree in one differ in the other."""
+    return word_hashes(data), word_hashes(data, seed=5)
 
 
-def _sequence(words: np.ndarray) -> tuple[int, int]:
+def _sequence(words: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
     """A 128-bit hash of a word sequence, as two signed integers."""
+    one, other = words
     with np.errstate(over="ignore"):
-        place = mix(np.arange(1, len(words) + 1, dtype=U64))
-        two = np.array([mix(words ^ place).sum(), mix(words + place * U64(3)).sum()], U64) + U64(len(words))
+        place = mix(np.arange(1, len(one) + 1, dtype=U64))
+        two = np.array([mix(one ^ place).sum(), mix(other + place * U64(3)).sum()], U64) + U64(len(one))
     return tuple(two.view(np.int64).tolist())
 
 
+def _bytes(text) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
+
+
 def _ids(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -61,8 +70,8 @@ def sequences(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [_words(text) for text in batch.column(1)]
-            two = [_sequence(w) for w in found]
+            both = [_words(_bytes(text)) for text in batch.column(1)]
+            two, found = [_sequence(w) for w in both], [w[0] for w in both]
             anchors = [g[_places(len(g))] if len(w) >= WINDOW else g[:0] for w in found for g in [gram_hashes(w, ANCHOR)]]
             ends = np.cumsum([0, *map(len, anchors)]).astype(np.int32)
             flat = pa.array(np.concatenate([*anchors, np.zeros(0, U64)]).view(np.int64))
@@ -87,15 +96,16 @@ def _windows(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                words = _words(batch.column("text")[row])
-                two = _sequence(words)
+                both = _words(_bytes(batch.column("text")[row]))
+                two, words = _sequence(both), both[0]
                 if two != (batch.column("s1")[row].as_py(), batch.column("s2")[row].as_py()):
                     continue  # another row of the same doc_id
                 at = _places(len(words) - ANCHOR + 1)[batch.column("marks")[row].values.to_numpy()]
                 n = len(words) - WINDOW + 1
                 near = np.flatnonzero(cover(n, np.clip(at - PERIOD + 1, 0, n), np.clip(at + 1, 0, n)))
+                wide = [window_hashes(w, WINDOW, seed) for w, seed in zip(both, (11, 23), strict=True)]
                 for part in np.array_split(near, len(near) // 100_000 + 1):
-                    one, other = (window_hashes(words, WINDOW, seed)[part].view(np.int64) for seed in (11, 23))
+                    one, other = (w[part].view(np.int64) for w in wide)
                     same = [pa.array(np.full(len(part), v)) for v in (batch.column("doc_id")[row].as_py(), *two)]
                     columns = [*same, pa.array(part.astype(np.int32)), pa.array(one), pa.array(other)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "start", "w1", "w2"])
@@ -105,12 +115,12 @@ def _windows(texts: DataFrame) -> DataFrame:
     )
 
 
-def removed_windows(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """(doc_id, s1, s2, starts): the starts of the windows that a smaller doc_id has too."""
-    long = marks.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
-    first = long.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("doc_id"))
-    first = materialize(first.select("doc_id", "s1", "s2"), "sub-first")
-    spread = long.join(first, ["doc_id", "s1", "s2"]).select("doc_id", "s1", "s2", F.posexplode("anchors").alias("i", "a"))
+def removed_windows(docs: DataFrame, long: DataFrame, first: DataFrame) -> DataFrame:
+    """(doc_id, s1, s2, starts): the starts of the windows that a smaller doc_id has too.
+
+    ``long``: :func:`sequences` of a window or more; ``first``: the smallest doc_id of each class of equal ones.
+    """
+    spread = long.join(first.select(F.col("first").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).select("doc_id", "s1", "s2", F.posexplode("anchors").alias("i", "a"))
     spread = materialize(spread, "sub-anchors")
     shared = spread.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = materialize(shared.where("low < high").select("a"), "sub-shared")
@@ -130,10 +140,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     kept_text holds the kept words joined by one space.
     """
     marks = materialize(sequences(docs), "sub-sequences")
-    starts = removed_windows(docs, marks)
     long = marks.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= WINDOW))
-    first = long.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("first"))
-    copies = long.join(first, ["s1", "s2", "n_words"]).where("doc_id > first")
+    # written, so that the joins with it can split a class that holds very many copies
+    first = materialize(long.groupBy("s1", "s2", "n_words").agg(F.min("doc_id").alias("first")), "sub-first")
+    starts = removed_windows(docs, long, first)
+    copies = long.select("doc_id", "s1", "s2", "n_words").join(first, ["s1", "s2", "n_words"]).where("doc_id > first")
     whole = copies.select("doc_id", "s1", "s2", F.array(F.lit(-1)).alias("starts")).distinct()
     changed = starts.union(whole).groupBy("doc_id")
     changed = changed.agg(F.collect_list(F.struct("s1", "s2", "starts")).alias("changes"))
@@ -146,7 +157,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 words = data.split()
                 n, gone = len(words), 0
                 if changes.is_valid:
-                    two = _sequence(word_hashes(data))
+                    two = _sequence(_words(data))
                     for change in changes.as_py():
                         if (change["s1"], change["s2"]) == two:
                             at = np.array(change["starts"], np.int64)
