@@ -2,7 +2,8 @@
 
 Defined cases: a null text counts as empty and empty texts are equal to one another; a row whose
 doc_id is null takes part in its group but is kept only if all ids of the group are null; rows that
-repeat both text and doc_id all carry the same keep_id and are all kept when it is theirs. Columns
+repeat both text and doc_id all carry the same keep_id and are all kept when it is theirs. Texts of any length
+are one value, hashed and compared whole; an empty table gives an empty result. Columns
 of the input beyond ``id_col`` and ``text_col`` are left out of the decisions and don't clash, as only
 those two are read.
 """
@@ -61,7 +62,8 @@ def exact_classes(
     classes = classes.agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.max("keep_id").alias("keep_id"))
     checked = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share both hashes")).cast("long"))
     classes = classes.select("h", "s", checked.otherwise(F.col("n")).alias("n"), "keep_id", F.lit(True).alias("grouped"))
-    out = marks.join(classes, ["h", "s"], "left")
+    # written, so that the join with it can split a class that holds very many rows
+    out = marks.join(materialize(classes, "exact-classes"), ["h", "s"], "left")
     keep_id = F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id"))
     return out.select(
         "doc_id",
