@@ -1,12 +1,17 @@
 """Media columns: lossless storage and signature sniffing.
 
-A payload is stored as 8-bit mono PCM samples in a WAV container. Sniffing runs an Aho-Corasick automaton
-over the bytes to locate magic numbers; a validator per format walks its structure and gives its length.
-The type at offset 0 corrects the declared one; valid media further in are carved, leftmost first, without
-overlap; media inside the samples of a container are carved from the samples.
+A payload is stored as 8-bit mono PCM samples in a WAV container, in a table that is written and read back.
+Sniffing runs an Aho-Corasick automaton over the bytes to locate magic numbers; a validator per format walks its
+structure and gives its length. The type at offset 0 corrects the declared one; valid media further in are carved,
+leftmost first, without overlap; media inside the samples of a container are carved from the samples.
+
+What validators look for behind a magic number (ends and tables of a PDF, directories of a ZIP, ends of a JPEG) is
+found once per text, so a magic number that repeats does not read the rest of the text again each time.
 
 Defined cases: null and empty texts are one block of 576 filler bytes; bytes without any valid media have
-type ``application/octet-stream``; a magic number without a valid structure is no medium.
+type ``application/octet-stream``; a magic number without a valid structure is no medium; texts of any length are one
+value, in memory one at a time with their stored form; rows that repeat are stored each on their own; columns of the
+input that have the name of a new one are kept, the new one gets an underscore; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import ahocorasick
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from kinfabric.llm.shared import documents
+from kinfabric.llm.shared import documents, free_name, materialize, small_batches
 
 BLOCK, FILL, RATE = 576, b"\xff", 8000
 UNKNOWN = "application/octet-stream"
@@ -54,7 +60,41 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
-def _png(b: bytes, at: int) -> int | None:
+class Seen:
+    """What was found in one text, by pattern: each is searched for once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.known = data, {}
+
+    def places(self, mark: bytes) -> list[int]:
+        """Where ``mark`` stands, in order."""
+        if mark not in self.known:
+            self.known[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self.known[mark]
+
+    def next(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` at or behind ``at``, or -1."""
+        places = self.places(mark)
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+    def pdf_ends(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the ``startxref`` ends, the offsets they name, and where a table stands in the text."""
+        if "pdf" not in self.known:
+            ends = list(_PDF_END.finditer(self.data))
+            tables = np.zeros(len(self.data) + 1, bool)
+            for m in _XREF.finditer(self.data):
+                tables[m.start()] = True
+                i = m.start() - 1  # white space before a table belongs to it
+                while i >= 0 and self.data[i] in b" \t\n\r\f\v" and not tables[i]:
+                    tables[i] = True
+                    i -= 1
+            columns = ([m.start() for m in ends], [m.end() for m in ends], [min(int(m[1]), 1 << 62) for m in ends])
+            self.known["pdf"] = (*(np.array(c, np.int64) for c in columns), tables)
+        return self.known["pdf"]
+
+
+def _png(b: bytes, at: int, seen: Seen) -> int | None:
     i, first = at + 8, True
     while i + 12 <= len(b):
         n, name = struct.unpack_from(">I4s", b, i)
@@ -68,7 +108,7 @@ def _png(b: bytes, at: int) -> int | None:
     return None
 
 
-def _jpeg(b: bytes, at: int) -> int | None:
+def _jpeg(b: bytes, at: int, seen: Seen) -> int | None:
     i = at + 2
     while i + 4 <= len(b) and b[i] == 0xFF:
         mark, n = b[i + 1], struct.unpack_from(">H", b, i + 2)[0]
@@ -76,12 +116,12 @@ def _jpeg(b: bytes, at: int) -> int | None:
             return None
         i += 2 + n
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", i)
+            end = seen.next(b"\xff\xd9", i)
             return end + 2 - at if end >= 0 else None
     return None
 
 
-def _gif(b: bytes, at: int) -> int | None:
+def _gif(b: bytes, at: int, seen: Seen) -> int | None:
     if at + 13 > len(b):
         return None
     flags = b[at + 10]
@@ -102,7 +142,7 @@ def _gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def _bmp(b: bytes, at: int) -> int | None:
+def _bmp(b: bytes, at: int, seen: Seen) -> int | None:
     if at + 30 > len(b):
         return None
     n, zero, start, head = struct.unpack_from("<IIII", b, at + 2)
@@ -125,7 +165,7 @@ def _chunks(b: bytes, at: int) -> dict[bytes, tuple[int, int]] | None:
     return out if i >= end else None
 
 
-def _wav(b: bytes, at: int) -> int | None:
+def _wav(b: bytes, at: int, seen: Seen) -> int | None:
     chunks = _chunks(b, at)
     if not chunks or b"data" not in chunks or chunks.get(b"fmt ", (0, 0))[1] < 16:
         return None
@@ -144,6 +184,8 @@ def _crc(poly: int, width: int) -> list[int]:
 
 
 _CRC8, _CRC16 = _crc(0x107, 8), _crc(0x18005, 16)
+#: Each byte with its bits in the other order.
+_MIRROR = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 #: Bits a sample by a frame header's code; 0 stands for the stream's own.
 _DEPTHS = {0: 0, 1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}
 
@@ -256,7 +298,7 @@ def _flac_frame(b: bytes, at: int, depth: int) -> tuple[int, int] | None:
     return (end - at, block) if end <= len(b) and not check else None
 
 
-def _flac(b: bytes, at: int) -> int | None:
+def _flac(b: bytes, at: int, seen: Seen) -> int | None:
     i = at + 4
     if i + 38 > len(b) or b[i] & 127 or int.from_bytes(b[i + 1 : i + 4]) != 34:
         return None
@@ -271,19 +313,26 @@ def _flac(b: bytes, at: int) -> int | None:
         return None
     if i > len(b):
         return None
-    seen = 0
-    while (not samples or seen < samples) and (frame := _flac_frame(b, i, depth)):
-        i, seen = i + frame[0], seen + frame[1]
+    done = 0
+    while (not samples or done < samples) and (frame := _flac_frame(b, i, depth)):
+        i, done = i + frame[0], done + frame[1]
     return i - at
 
 
-def _ogg(b: bytes, at: int) -> int | None:
+def _ogg(b: bytes, at: int, seen: Seen) -> int | None:
+    """Pages in a row whose checksums are right."""
     i = at
     while b[i : i + 5] == b"OggS\x00" and i + 27 <= len(b):
         table = b[i + 27 : i + 27 + b[i + 26]]
-        i += 27 + len(table) + sum(table)
-        if i > len(b):
-            return None
+        end = i + 27 + len(table) + sum(table)
+        if end > len(b) or len(table) < b[i + 26]:
+            break
+        page = b[i : i + 22] + bytes(4) + b[i + 26 : end]
+        # zlib reads bits from the other end, and turns all of them before and after
+        check = (zlib.crc32(page.translate(_MIRROR), 0xFFFFFFFF) ^ 0xFFFFFFFF).to_bytes(4, "little").translate(_MIRROR)
+        if int.from_bytes(check) != struct.unpack_from("<I", b, i + 22)[0]:
+            break
+        i = end
     return i - at if i > at else None
 
 
@@ -328,7 +377,7 @@ def _free(b: bytes, i: int, same: int) -> int:
     return 0
 
 
-def _mp3(b: bytes, at: int) -> int | None:
+def _mp3(b: bytes, at: int, seen: Seen) -> int | None:
     if at + 10 > len(b) or b[at + 3] not in (2, 3, 4) or max(b[at + 6 : at + 10]) > 127:
         return None
     i = at + 10 + sum(x << s for x, s in zip(b[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
@@ -353,27 +402,30 @@ def _mp3(b: bytes, at: int) -> int | None:
 
 
 _PDF_END = re.compile(rb"startxref\s+(\d{1,19})\s+%%EOF")
-_XREF = re.compile(rb"\s*(?:xref\b|\d+\s+\d+\s+obj\b)")
+_XREF = re.compile(rb"xref\b|(?<!\d)\d+\s+\d+\s+obj\b")
 
 
-def _pdf(b: bytes, at: int) -> int | None:
+def _pdf(b: bytes, at: int, seen: Seen) -> int | None:
     """Up to the last %%EOF whose startxref leads to a table of this file; if none does, the last before another file.
 
     An update's table stands behind the %%EOF before it. Only the first startxref that leads anywhere may lead back
     behind another %%EOF, as in linearized files.
     """
-    ends, end = list(_PDF_END.finditer(b, at)), 0
-    for m in ends:
-        table = at + int(m[1])
-        if max(at + 1, end) <= table < m.start() and _XREF.match(b, table):
-            end = m.end()
+    starts, stops, offsets, tables = seen.pdf_ends()
+    first, end = int(np.searchsorted(starts, at)), 0
+    places = at + offsets[first:]
+    right = np.flatnonzero((places > at) & (places < starts[first:]))
+    for i in right[tables[places[right]]].tolist():
+        if places[i] >= end:
+            end = int(stops[first + i])
     if not end:
-        other = b.find(b"%PDF-1.", at + 1)
-        end = max((m.end() for m in ends if other < 0 or m.end() <= other), default=0)
+        other = seen.next(b"%PDF-1.", at + 1)
+        last = len(stops) if other < 0 else int(np.searchsorted(stops, other, "right"))
+        end = int(stops[last - 1]) if last > first else 0
     return end - at if end else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
+def _gzip(b: bytes, at: int, seen: Seen) -> int | None:
     unpack = zlib.decompressobj(31)
     try:
         view, i = memoryview(b), at
@@ -388,8 +440,8 @@ def _gzip(b: bytes, at: int) -> int | None:
         return None
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: bytes, at: int, seen: Seen) -> int | None:
+    end = seen.next(b"PK\x05\x06", at)
     if at + 30 > len(b) or end < 0 or end + 22 > len(b):
         return None
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -405,13 +457,13 @@ VALIDATORS = {
 
 def find_media(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of the valid media, leftmost first, without overlap."""
-    out, free, seen = [], 0, set()
+    out, free, last, seen = [], 0, None, Seen(data)
     hits = sorted((end - span, kind) for end, (span, kind) in automaton().iter(data.decode("latin-1")))
     for at, kind in hits:
-        if at < free or (at, kind) in seen:
+        if at < free or (at, kind) == last:
             continue
-        seen.add((at, kind))
-        if n := VALIDATORS[kind](data, at):
+        last = (at, kind)
+        if n := VALIDATORS[kind](data, at, seen):
             out.append((at, n, kind))
             free = at + n
     return out
@@ -467,7 +519,10 @@ def sniff(media: bytes | None, declared: str | None) -> dict:
 
 
 def sniff_media(rows: DataFrame, media: str = "media", declared: str = "declared") -> DataFrame:
-    """``rows`` with type, corrected and carved (array of offset, type, bytes)."""
+    """``rows`` with type, corrected and carved (array of offset, type, bytes); a name that is taken gets an underscore."""
+    names = []
+    for name in ("type", "corrected", "carved"):
+        names.append(free_name(rows, name))
 
     def run(batches):
         for batch in batches:
@@ -477,11 +532,10 @@ def sniff_media(rows: DataFrame, media: str = "media", declared: str = "declared
             ]
             carved = [[{"offset": i, "type": k, "bytes": m[i : i + n]} for i, n, k in x["embedded"]] for x, m in found]
             new = [pa.array([x["type"] for x, _ in found], pa.string()), pa.array([x["corrected"] for x, _ in found], pa.bool_()), pa.array(carved, kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "type", "corrected", "carved"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *names])
 
     kinds = pa.list_(pa.struct([("offset", pa.int64()), ("type", pa.string()), ("bytes", pa.binary())]))
-    rows = rows.drop("type", "corrected", "carved")
-    added = "type string, corrected boolean, carved array<struct<offset: long, type: string, bytes: binary>>"
+    added = f"{names[0]} string, {names[1]} boolean, {names[2]} array<struct<offset: long, type: string, bytes: binary>>"
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(added).fields]))
 
 
@@ -508,5 +562,11 @@ def features(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "declared", "media").mapInArrow(run, schema)
 
 
+def stored_features(docs: DataFrame) -> DataFrame:
+    """:func:`features` of the media column of a written table."""
+    small_batches(docs.sparkSession)
+    return features(materialize(store(docs), "media"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(store(documents(spark, sf_dir)))
+    return stored_features(documents(spark, sf_dir))
