@@ -3,15 +3,19 @@
 The text view describes what is said (classes of characters, words, repetition, also of the worst eighth);
 the page view describes how and where it stands (language, source, length, lines). Each view has a logistic
 classifier. In each round all confident labels of one view on unlabelled documents join the other's
-training set, where the first label stays. Both are calibrated on held-out labels, combined there, and score all documents.
+training set, where the first label stays. Both are calibrated on labels held out of the fit, combined on others held out
+of both, and score all documents.
 
 Features are computed once for all documents. The driver holds at most ``MOST_LABELLED`` labelled documents,
 drawn by a hash of the id. The unlabelled ones are all used: executors find their labels from the classifiers
 of the rounds before, and send sums (moments, gradients, Hessians) for the fit; scoring covers every row.
 
 Defined cases: null and empty texts score by their (zero) features; a null language or source is a value of
-its own; labels that contradict each other count as their majority, ties as good; null labels are left out;
-with fewer than two classes among the labels every document has score 1 and is kept.
+its own; labels that contradict each other count as their majority, ties as good; null labels are left out; a label
+counts for each row that shares its doc_id, and each row is judged by its own text, those with a null doc_id too;
+a very long text is one row, its features read in one pass; columns of the input beyond the four that are read don't
+clash; an empty table gives an empty result; with fewer than two classes among the labels of a part every document
+has score 1 and is kept.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfabric.llm.hashing import word_hashes
-from kinfabric.llm.shared import discard, documents, materialize
+from kinfabric.llm.shared import discard, documents, free_name, materialize
 
 MOST_LABELLED, ROUNDS, CONFIDENT, THRESHOLD = 8_000, 4, 0.97, 0.5
 _CLASS = np.full(256, 6, np.uint8)
@@ -71,8 +75,14 @@ def page_view(data: bytes, lang: str | None, source: str | None) -> list[float]:
     return [*out, *places.tolist()]
 
 
+def _row(docs: DataFrame):
+    """16 bytes that name what a row is judged by, and its doc_id."""
+    said = [F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("~")) for c in ("doc_id", "lang", "source", "text")]
+    return F.unhex(F.md5(F.concat_ws("\x1f", *said).cast("binary")))
+
+
 def views(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_view, page_view) of every row."""
+    """(doc_id, rk, text_view, page_view) of every row."""
 
     def lists(rows):
         ends = pa.array(np.arange(0, len(rows) + 1) * (len(rows[0]) if rows else 0), pa.int32())
@@ -82,12 +92,12 @@ def views(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
             page = [page_view(t, g.as_py(), s.as_py()) for t, g, s in zip(texts, batch.column(2), batch.column(3), strict=True)]
-            columns = [batch.column(0), lists([text_view(t) for t in texts]), lists(page)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_view", "page_view"])
+            columns = [batch.column(0), batch.column(4), lists([text_view(t) for t in texts]), lists(page)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rk", "text_view", "page_view"])
 
     said = [F.col(c).cast("string").alias(c) for c in ("text", "lang", "source")]
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *said)
-    return picked.mapInArrow(run, "doc_id long, text_view array<float>, page_view array<float>")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *said, _row(docs).alias("rk"))
+    return picked.mapInArrow(run, "doc_id long, rk binary, text_view array<float>, page_view array<float>")
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -218,13 +228,14 @@ def _fit_all(pool: DataFrame, past: list[list[Logistic]], sets: list[tuple[np.nd
     return models
 
 
-def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, held: np.ndarray, pool: DataFrame, rounds: int = ROUNDS):
+def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, part: np.ndarray, pool: DataFrame, rounds: int = ROUNDS):
     """(text classifier, page classifier, weights of their calibrated logits and a constant).
 
-    ``pool`` has text_view and page_view of all unlabelled documents; only sums over it come to the driver.
+    ``part`` says what a labelled row is for: 0 the fit of the views, 1 their calibration, 2 the weights. ``pool``
+    has text_view and page_view of all unlabelled documents; only sums over it come to the driver.
     """
-    mine, past = [text, page], []
-    sets = [(x[~held], y[~held]) for x in mine]
+    mine, past, held, last = [text, page], [], part == 1, part == 2
+    sets = [(x[part == 0], y[part == 0]) for x in mine]
     models = [Logistic.fit(*s) for s in sets]
     for step in range(rounds + 1):
         for model, x in zip(models, mine, strict=True):
@@ -233,50 +244,51 @@ def cotrain(text: np.ndarray, page: np.ndarray, y: np.ndarray, held: np.ndarray,
             break
         past.append(models)
         models = _fit_all(pool, past, sets)
-    both = np.stack([m.logit(x[held]) for m, x in zip(models, mine, strict=True)], 1)
-    joint = Logistic.fit(both, y[held])
+    both = np.stack([m.logit(x[last]) for m, x in zip(models, mine, strict=True)], 1)
+    joint = Logistic.fit(both, y[last])
     w = joint.weights[:2] / joint.scale
     return models[0], models[1], (float(w[0]), float(w[1]), float(joint.weights[2] - w @ joint.mean))
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """(doc_id, text_score, page_score, score, keep), one row per row of ``docs``."""
+def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, rk, text_score, page_score, score, keep), one row per row of ``docs``; rk names the row (see :func:`_row`)."""
     table = materialize(views(docs), "quality-views")
     marks = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    known = table.join(marks, "doc_id").orderBy(*order).limit(most_labelled).toArrow()
-    schema = "doc_id long, text_score double, page_score double, score double, keep boolean"
+    known = table.join(marks, "doc_id").orderBy(*order, "rk").limit(most_labelled).toArrow()
+    schema = "doc_id long, rk binary, text_score double, page_score double, score double, keep boolean"
     stack = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), -1).astype(np.float64) if len(c) else np.zeros((0, 1))
     y = known["y"].to_numpy().astype(np.float64)
-    held = np.arange(len(y)) % 4 == 3
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        return table.select("doc_id", *[F.lit(1.0).alias(c) for c in ("text_score", "page_score", "score")], F.lit(True).alias("keep"))
+    part = np.array([0, 0, 0, 1, 0, 0, 0, 2])[np.arange(len(y)) % 8]
+    if any(len(set(y[part == p])) < 2 for p in range(3)):
+        return table.select("doc_id", "rk", *[F.lit(1.0).alias(c) for c in ("text_score", "page_score", "score")], F.lit(True).alias("keep"))
     text, page = stack(known["text_view"]), stack(known["page_view"])
     pool = table.join(marks, "doc_id", "left_anti").where("doc_id IS NOT NULL").select("text_view", "page_view")
     pool = materialize(pool, "quality-pool")
-    of_text, of_page, (a, b, c) = cotrain(text, page, y, held, pool)
+    of_text, of_page, (a, b, c) = cotrain(text, page, y, part, pool, rounds)
     discard(pool)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            z = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
+            z = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
             one, two = of_text.logit(x), of_page.logit(z)
             whole = _sigmoid(a * one + b * two + c)
-            columns = [batch.column(0), *map(pa.array, (_sigmoid(one), _sigmoid(two), whole, whole >= threshold))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_score", "page_score", "score", "keep"])
+            columns = [batch.column(0), batch.column(1), *map(pa.array, (_sigmoid(one), _sigmoid(two), whole, whole >= threshold))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "rk", "text_score", "page_score", "score", "keep"])
 
     return table.mapInArrow(run, schema)
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without those that the classifier rejects."""
-    gone = score(docs, labels, **options).where("NOT keep").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the rows that the classifier rejects, each by its own text, language and source."""
+    name = free_name(docs, "_rk")
+    gone = score(docs, labels, **options).where("NOT keep").select(F.col("rk").alias(name)).distinct()
+    return docs.withColumn(name, _row(docs)).join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("rk")

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import io
 import random
 import re
+import wave
 import zlib
 
 import numpy as np
@@ -128,6 +130,24 @@ def test_op4(spark):
     assert got.a > 0.95 and got.k > 0.98
     few = quality.score(frame(spark, ODD), labels.limit(0)).collect()
     assert len(few) == len(ODD) and all(r.keep for r in few)
+    none = quality.score(docs.limit(0), train)
+    assert none.count() == 0
+
+
+def test_op4_judges_rows(spark):
+    """Rows that share a doc_id, or have none, go and stay by their own text; contradicting labels and clashing columns do no harm."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    verdicts = quality.score(docs, labels, rounds=1).join(docs, "doc_id").select("keep", "text", "lang", "source").collect()
+    good, bad = next(r for r in verdicts if r.keep), next(r for r in verdicts if not r.keep)
+    long = "plain words of a long text " * 60_000
+    more = [(None, good.text, good.lang, good.source), (None, bad.text, bad.lang, bad.source), (-7, good.text, good.lang, good.source), (-7, bad.text, bad.lang, bad.source), (-8, None, None, None), (-9, long, "en", "s")]
+    rows = docs.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(more, "doc_id long, text string, lang string, source string")).withColumn("rk", quality.F.lit(1)).withColumn("y", quality.F.lit("x"))
+    twice = labels.union(labels.where("doc_id % 50 = 0").selectExpr("doc_id", "1 - quality", "toxic"))
+    left = quality.drop_rejected(rows, twice, rounds=1)
+    assert left.columns == rows.columns
+    kept = {(r.doc_id, r.text) for r in left.collect()}
+    assert {(None, good.text), (-7, good.text)} <= kept and not {(None, bad.text), (-7, bad.text)} & kept
 
 
 def test_op5(spark, rows):
@@ -135,14 +155,19 @@ def test_op5(spark, rows):
     gz = zlib.compress(b"hello" * 50, wbits=31)
     assert media.find_media(b"BMzz" + png + b"GIF89a" + gz + b"\xff\xd8\xff") == [(4, len(png), "image/png"), (10 + len(png), len(gz), "application/gzip")]
     assert media.sniff(png, "image/jpeg")["type"] == "image/png" and media.sniff(None, None)["type"] == media.UNKNOWN
-    got = {r.doc_id: r for r in media.features(media.store(frame(spark, rows))).collect()}
+    got = {r.doc_id: r for r in media.stored_features(frame(spark, rows)).collect()}
     for i, t in rows:
         data = (t or "").encode()
         pad = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-32:]))
+        wav = io.BytesIO()
+        with wave.open(wav, "wb") as f:
+            f.setnchannels(1), f.setsampwidth(1), f.setframerate(media.RATE), f.writeframes(pad)
+        assert (r.media_bytes, r.media_sha256) == (len(wav.getvalue()), hashlib.sha256(wav.getvalue()).hexdigest())
+        assert r.feature.startswith(f"text/plain>audio/wav;n={len(pad)};sum={sum(pad)};min={min(pad)};max={max(pad)};")
     carved = media.sniff_media(spark.createDataFrame([(media.encode_wav(png + b"\xff" * 3), "x", "clash")], "media binary, declared string, type string")).first()
-    assert carved.type == "audio/wav" and bytes(carved.carved[0]["bytes"]) == png
+    assert carved.type == "clash" and carved.type_ == "audio/wav" and bytes(carved.carved[0]["bytes"]) == png
 
 
 @pytest.mark.parametrize("block", [5, 7, 1 << 16])
@@ -267,7 +292,7 @@ def test_op10(spark, bucket_rows):
 def test_empty_tables(spark):
     none = frame(spark, [(1, "x")]).where("doc_id > 1")
     for made in (
-        suffix_dedup.remove_repeats(none), exact_dedup.exact_classes(none), secrets.scan(none), media.features(media.store(none)), tokens.count_tokens(none),
+        suffix_dedup.remove_repeats(none), exact_dedup.exact_classes(none), secrets.scan(none), media.stored_features(none), tokens.count_tokens(none),
         minhash_dedup.near_components(none), substring_dedup.remove_repeats(none), packing.pack_documents(none), mixing.mix(mixing.sized(none)), mixing.mix_documents(none),
     ):
         assert made.count() == 0
