@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinfabric.plans.lineage import written
+from kinfabric.plans.lineage import discard, written
 
 DIRECTIONS = ("all", "outgoing", "incoming", "undirected")
 
@@ -161,7 +161,9 @@ class Graph:
             new = labels.join(low, "node_id", "left").select("node_id", F.least("component", F.coalesce("c", "component")).alias("component"))
             jump = new.join(new.toDF("component", "further"), "component", "left")
             new = written(jump.select("node_id", F.coalesce("further", "component").alias("component")), "labels")
-            if new.join(labels.toDF("node_id", "old"), "node_id").where("component <> old").isEmpty():
+            settled = new.join(labels.toDF("node_id", "old"), "node_id").where("component <> old").isEmpty()
+            discard(labels)
+            if settled:
                 return new
             labels = new
         raise RuntimeError("components have not settled")

@@ -9,28 +9,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfabric.functions.rng import hash_int
+from kinfabric.functions.text import display_name
 from kinfabric.operators.graph import Graph, top
-from kinfabric.plans.lineage import written
+from kinfabric.plans.lineage import discard, written
 
-STEPS_PER_TABLE = 8
+#: Steps of walks and of the propagation in one plan; walks that are broadcast at most.
+STEPS_PER_TABLE, MOST_BROADCAST = 8, 200_000
+
+
+def numbered_neighbors(graph: Graph) -> DataFrame:
+    """(node_id, i, nbr, fan), written: a node's neighbours of any direction, numbered from 0 in order of id; fan is nbr's own number of them."""
+    nbrs = graph.neighbors()
+    place = F.row_number().over(Window.partitionBy("node_id").orderBy("nbr")) - 1
+    fan = nbrs.groupBy(F.col("node_id").alias("nbr")).agg(F.count("*").alias("fan"))
+    return written(nbrs.withColumn("i", place).join(fan, "nbr").select("node_id", "i", "nbr", "fan"), "numbered")
 
 
 def walks(graph: Graph, seeds: DataFrame, per_seed: int, length: int, seed: int = 7) -> DataFrame:
     """(seed, walk_id, step, node): uniform walks of ``length`` nodes that stop at a node without neighbours.
 
-    Each step takes the neighbour, in order of id, at the place that a hash of seed, walk and step gives.
+    Each step takes the neighbour, in order of id, at the place that a hash of seed, walk and step gives. A
+    neighbour has one itself, so only walks from an isolated seed stop. The neighbours stay where they are and
+    meet the walks by (node, place): walks are broadcast up to ``MOST_BROADCAST`` of them, beyond they are joined.
     """
-    nbrs = graph.neighbors().groupBy(F.col("node_id").alias("at")).agg(F.sort_array(F.collect_set("nbr")).alias("nbrs"))
-    known = seeds.join(graph.nodes.select("node_id"), "node_id", "left_semi")
+    steps = numbered_neighbors(graph)
+    known = written(seeds.join(graph.nodes.select("node_id"), "node_id", "left_semi").distinct(), "walk-seeds")
+    small = known.count() * per_seed <= MOST_BROADCAST
+    fan = steps.groupBy(F.col("node_id").alias("seed")).agg(F.count("*").alias("fan"))
     rows = known.select(F.col("node_id").alias("seed"), F.explode(F.sequence(F.lit(0), F.lit(per_seed - 1))).alias("walk_id"))
-    rows = rows.select("seed", "walk_id", F.array("seed").alias("path"), F.col("seed").alias("at"))
+    rows = written(rows.join(fan, "seed", "left").select("seed", "walk_id", F.array("seed").alias("path"), F.col("seed").alias("at"), "fan"), "walks")
+    alone, rows = rows.where("fan IS NULL"), rows.where("fan IS NOT NULL")
     for step in range(1, length):
-        place = (hash_int(seed, F.col("seed"), F.col("walk_id"), step) % F.size("nbrs") + 1).cast("int")
-        rows = rows.join(nbrs, "at", "left").withColumn("to", F.when(F.col("nbrs").isNotNull(), F.element_at("nbrs", place)))
-        rows = rows.select("seed", "walk_id", F.when(F.col("to").isNotNull(), F.concat("path", F.array("to"))).otherwise(F.col("path")).alias("path"), F.col("to").alias("at"))
+        place = (hash_int(seed, F.col("seed"), F.col("walk_id"), step) % F.col("fan")).cast("int")
+        rows = rows.select("seed", "walk_id", "path", F.col("at").alias("node_id"), place.alias("i"))
+        rows = steps.join(F.broadcast(rows) if small else rows, ["node_id", "i"])
+        rows = rows.select("seed", "walk_id", F.concat("path", F.array("nbr")).alias("path"), F.col("nbr").alias("at"), "fan")
         if step % STEPS_PER_TABLE == 0:
             rows = written(rows, "walks")
-    return rows.select("seed", "walk_id", F.posexplode("path").alias("step", "node"))
+    return rows.union(alone).select("seed", "walk_id", F.posexplode("path").alias("step", "node"))
 
 
 def select_seeds(graph: Graph, k: int, method: str = "degree", manual: list[str] | None = None, seed: int = 7) -> DataFrame:
@@ -136,6 +152,10 @@ def acceptance(graph: Graph, rows: DataFrame) -> DataFrame:
     return balance(graph, rows).select("node_id", "node_ord", F.least(value, F.lit(1.0)).alias("acceptance"))
 
 
+def average_acceptance(scores: DataFrame) -> DataFrame:
+    return scores.agg(F.avg("acceptance").alias("average"))
+
+
 def limit_sybils(scores: DataFrame, threshold: float | None = None) -> DataFrame:
     return scores.where(F.col("acceptance") < F.lit(1.0 - (threshold or 0.8)))
 
@@ -147,22 +167,37 @@ def propagate(graph: Graph, seeds: DataFrame, damping: float = 0.85, iterations:
     """(node_id, node_ord, trust): trust flows evenly to neighbours and restarts at the seeds.
 
     Stops where the step is shorter than epsilon and keeps the vector before it; with ``fixed``, all
-    iterations run. Nodes without neighbours leak. Only the step's length comes to the driver.
+    iterations run. Nodes without neighbours leak. Steps are planned ``STEPS_PER_TABLE`` at a time; only their
+    lengths come to the driver.
     """
     links = graph.neighbors()
     share = links.groupBy("node_id").agg(F.count("*").alias("deg"))
-    flows = written(links.join(share, "node_id").select(F.col("node_id").alias("src"), F.col("nbr").alias("dst"), (1 / F.col("deg")).alias("p")), "flows")
+    flows = links.join(share, "node_id").select(F.col("node_id").alias("src"), F.col("nbr").alias("dst"), (1 / F.col("deg")).alias("p"), F.lit(False).alias("own"))
+    # each node also flows to itself with nothing but what it knows, so that a step is one join and one sum
+    own = graph.nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("p"), F.lit(True).alias("own"))
+    flows = written(flows.unionByName(own), "flows")
     start = graph.nodes.select("node_id", "node_ord").join(seeds.select("node_id", F.lit(1.0).alias("s")), "node_id", "left")
-    ranks = written(start.select("node_id", "node_ord", F.coalesce("s", F.lit(0.0)).alias("s")).withColumn("trust", F.col("s")), "ranks")
-    for _ in range(iterations):
-        inflow = flows.join(ranks.select(F.col("node_id").alias("src"), "trust"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("p") * F.col("trust")).alias("got"))
-        new = ranks.join(inflow, "node_id", "left")
-        value = damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("s")
-        new = written(new.select("node_id", "node_ord", "s", value.alias("trust"), F.pow(value - F.col("trust"), 2).alias("step")), "ranks")
-        if not fixed and (new.agg(F.sum("step")).first()[0] or 0.0) ** 0.5 < epsilon:
-            break
-        ranks = new.drop("step")
-    return ranks.select("node_id", "node_ord", "trust")
+    ranks = written(start.select("node_id", "node_ord", F.coalesce("s", F.lit(0.0)).alias("s")).withColumn("t0", F.col("s")), "ranks")
+    done = 0
+    while done < iterations:
+        steps = min(STEPS_PER_TABLE, iterations - done)
+        rows = ranks
+        for j in range(1, steps + 1):
+            kept = ["node_ord", "s", *(f"t{k}" for k in range(j))]
+            got = F.sum(F.when(~F.col("own"), F.col("p") * F.col(f"t{j - 1}")))
+            rows = flows.join(rows.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id"))
+            rows = rows.agg(got.alias("got"), *[F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in kept])
+            rows = rows.where("node_ord IS NOT NULL").withColumn(f"t{j}", damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("s")).drop("got")
+        before, ranks = ranks, written(rows, "ranks")
+        discard(before)
+        done += steps
+        if not fixed:
+            moved = ranks.agg(*[F.sum(F.pow(F.col(f"t{j}") - F.col(f"t{j - 1}"), 2)) for j in range(1, steps + 1)]).first()
+            short = [j for j in range(1, steps + 1) if (moved[j - 1] or 0.0) ** 0.5 < epsilon]
+            if short:
+                return ranks.select("node_id", "node_ord", F.col(f"t{short[0] - 1}").alias("trust"))
+        ranks = ranks.select("node_id", "node_ord", "s", F.col(f"t{steps}").alias("t0"))
+    return ranks.select("node_id", "node_ord", F.col("t0").alias("trust"))
 
 
 def rank_scores(ranks: DataFrame) -> DataFrame:
@@ -177,6 +212,13 @@ def rank_honest(ranks: DataFrame, threshold: float | None = None) -> DataFrame:
     return ranks.where(F.col("trust") >= (threshold or 0.1))
 
 
+def with_names(scores: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``scores`` with ``name`` from the nodes' metadata (JSON): first and last name, Unknown where one is missing."""
+    part = lambda key: F.get_json_object("metadata", f"$.{key}")
+    named = nodes.select("node_id", display_name(part("first_name"), part("last_name")).alias("name"))
+    return scores.join(named, "node_id", "left")
+
+
 def trust_stats(ranks: DataFrame, threshold: float = 0.1) -> DataFrame:
     return ranks.agg(
         F.avg("trust").alias("mean"), F.median("trust").alias("median"), F.stddev_pop("trust").alias("std"), F.min("trust").alias("low"),
@@ -209,10 +251,10 @@ def detect_limit(graph: Graph, k: int = 10, method: str = "degree", per_seed: in
     chosen = written(select_seeds(graph, k, method, **seeds), "seeds")
     rows = written(walks(graph, chosen, per_seed, length), "walks")
     scores = acceptance(graph, rows)
-    return Detection(chosen, scores, limit_sybils(scores, threshold), {"walks": rows, "mixing": mixing(rows), "balance": balance(graph, rows)})
+    return Detection(chosen, scores, limit_sybils(scores, threshold), {"walks": rows, "mixing": mixing(rows), "balance": balance(graph, rows), "average": average_acceptance(scores)})
 
 
 def detect_rank(graph: Graph, k: int = 10, method: str = "degree", threshold: float | None = None, damping: float = 0.85, **seeds) -> Detection:
     chosen = written(select_seeds(graph, k, method, **seeds), "seeds")
     ranks = propagate(graph, chosen, damping)
-    return Detection(chosen, rank_scores(ranks), rank_sybils(ranks, threshold), {"honest": rank_honest(ranks, threshold), "stats": trust_stats(ranks)})
+    return Detection(chosen, rank_scores(ranks), rank_sybils(ranks, threshold), {"ranks": ranks, "nodes": graph.nodes, "honest": rank_honest(ranks, threshold), "stats": trust_stats(ranks)})

@@ -36,30 +36,39 @@ def influence(base: float, by: float) -> float:
     return max(0.0, base * (1 + (by - INITIAL) * MULTIPLIER))
 
 
+def with_epochs(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``epoch``: how often the actor was reset before (action ``reset``, on its own row)."""
+    before = Window.partitionBy("actor").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("epoch", F.coalesce(F.count(F.when(F.col("action") == "reset", 1)).over(before), F.lit(0)))
+
+
 def admitted(rows: DataFrame) -> DataFrame:
-    """The interactions that pass the once-only guards, before spam control; ``epoch`` (if there) restarts them."""
-    epoch = ["epoch"] if "epoch" in rows.columns else []
+    """The interactions that pass the once-only guards, before spam control; an actor's guards restart with each of its resets."""
     group = F.when(F.col("action").isin("vet", "deny"), "vet").otherwise(F.col("action"))
-    first = F.row_number().over(Window.partitionBy("actor", "target", group, *epoch).orderBy("seq"))
-    return rows.withColumn("_n", first).where((F.col("action") == "accept") | (F.col("_n") == 1)).drop("_n")
+    first = F.row_number().over(Window.partitionBy("actor", "target", group, "epoch").orderBy("seq"))
+    return with_epochs(rows).withColumn("_n", first).where(F.col("action").isin("accept", "reset") | (F.col("_n") == 1)).drop("_n")
 
 
 def spam_flags(rows: DataFrame) -> DataFrame:
     """(actor, flagged_seq): the first report attempt of anyone at which the actor's last hour is spam.
 
-    An actor is ripe from the moment of the 5th report or 30th accept inside an hour until the first of
-    those is an hour old; the flag falls on the first tick after that moment and before that end.
+    An actor is ripe from the moment of the 5th report or 30th accept inside an hour, and since its last reset,
+    until the first of those is an hour old or it is reset; the flag falls on the first tick after that moment
+    and before that end, and stays.
     """
-    counted = admitted(rows).where("action IN ('report', 'accept')")
-    by = Window.partitionBy("actor", "action").orderBy("seq")
+    counted = admitted(rows)
+    next_reset = F.min(F.when(F.col("action") == "reset", F.col("seq"))).over(Window.partitionBy("actor").orderBy("seq").rowsBetween(1, Window.unboundedFollowing))
+    counted = counted.withColumn("over", next_reset).where("action IN ('report', 'accept')")
+    by = Window.partitionBy("actor", "action", "epoch").orderBy("seq")
     need = F.when(F.col("action") == "report", SPAM_REPORTS).otherwise(SPAM_ACCEPTS)
     oldest = F.when(F.col("action") == "report", F.lag("ts", SPAM_REPORTS - 1).over(by)).otherwise(F.lag("ts", SPAM_ACCEPTS - 1).over(by))
-    ripe = counted.withColumn("end", oldest + HOUR).where("end IS NOT NULL AND ts < end").select("actor", F.col("seq").alias("at"), "end", need.alias("need"))
+    ripe = counted.withColumn("end", oldest + HOUR).where("end IS NOT NULL AND ts < end").select("actor", F.col("seq").alias("at"), "end", "over", need.alias("need"))
     # the next tick after each moment: an as-of over ticks and moments together, cut into stretches of seq
     ticks = rows.where("action = 'report'").select("seq", "ts")
     size = rows.agg(F.greatest(F.lit(1), F.ceil((F.max("seq") - F.min("seq") + 1) / 256)).alias("width"), F.min("seq").alias("low"))
-    marked = ticks.select("seq", F.col("ts").alias("tick"), F.lit(None).cast("long").alias("actor"), F.lit(None).cast("long").alias("end"))
-    moments = ripe.select(F.col("at").alias("seq"), F.lit(None).cast("long").alias("tick"), F.col("actor").cast("long"), F.col("end"))
+    void = F.lit(None).cast("long")
+    marked = ticks.select("seq", F.col("ts").alias("tick"), void.alias("actor"), void.alias("end"), void.alias("over"))
+    moments = ripe.select(F.col("at").alias("seq"), void.alias("tick"), F.col("actor").cast("long"), F.col("end"), F.col("over").cast("long"))
     both = marked.unionByName(moments).join(F.broadcast(size)).withColumn("part", F.floor((F.col("seq") - F.col("low")) / F.col("width")))
     heads = both.where("tick IS NOT NULL").groupBy("part").agg(F.min(F.struct("seq", "tick")).alias("head"))
     later = F.first("head", True).over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing))
@@ -68,7 +77,7 @@ def spam_flags(rows: DataFrame) -> DataFrame:
     tick = F.when(F.col("tick").isNotNull(), F.struct("seq", "tick"))
     both = both.withColumn("x", F.first(tick, True).over(ahead)).join(F.broadcast(parts), "part")
     both = both.withColumn("x", F.coalesce("x", "next")).where("end IS NOT NULL AND x IS NOT NULL")
-    return both.where("x.tick < end").groupBy("actor").agg(F.min("x.seq").alias("flagged_seq"))
+    return both.where("x.tick < end AND (over IS NULL OR x.seq < over)").groupBy("actor").agg(F.min("x.seq").alias("flagged_seq"))
 
 
 def ledger(rows: DataFrame) -> DataFrame:
@@ -95,13 +104,15 @@ class Fold:
         if action == "vet":
             self.scores[target], w = gain(t, influence(VET, by))
         elif action == "accept":
-            self.scores[target], w = gain(t, ACCEPT)
+            self.scores[target], w = gain(t, influence(ACCEPT, by))
         elif action == "deny":
             self.scores[target], w = penalty(t, influence(DENY, by), by)
             w = -w
         elif action == "report":
             self.scores[target], w = penalty(t, REPORT, by)
             w = -w
+        elif action == "reset":
+            self.scores[target], w = INITIAL, 0.0
         else:
             self.scores[target], w = penalty(t, SPAM_PENALTY)
             w = -w
@@ -139,15 +150,27 @@ def user_scores(log: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def interaction_log(log: DataFrame) -> DataFrame:
-    """(username, seq, actor, target, action, weight): one row on each side, newest first by seq."""
+    """(username, seq, ts, actor, target, action, weight): one row on each side; a penalty's target is ``system``.
+
+    A reset empties the user's own log: rows up to the last one are left out. :func:`newest_first` puts it in order.
+    """
     past = {"vet": ("vetted_by", "vetted"), "deny": ("vet_denied_by", "vet_denied"), "report": ("reported_by", "reported"), "accept": ("accepted_by", "accepted"), "spam": ("spam_detected", None)}
     got = given = F.lit(None).cast("string")
     for action, (theirs, own) in past.items():
         got = F.when(F.col("action") == action, theirs).otherwise(got)
         given = F.when(F.col("action") == action, F.lit(own)).otherwise(given)
-    a = log.select(F.col("target").alias("username"), "seq", "actor", "target", got.alias("action"), "weight")
-    b = log.where("action <> 'spam'").select(F.col("actor").alias("username"), "seq", "actor", "target", given.alias("action"), F.lit(0.0).alias("weight"))
-    return a.unionByName(b)
+    done, spam = log.where("action <> 'reset'"), F.col("action") == "spam"
+    name = lambda c: F.col(c).cast("string")
+    # as logged: the owner of the log acts, on the other side of the interaction
+    a = done.select(F.col("target").alias("username"), "seq", "ts", name("target").alias("actor"), F.when(spam, "system").otherwise(name("actor")).alias("target"), got.alias("action"), "weight")
+    b = done.where(~spam).select(F.col("actor").alias("username"), "seq", "ts", name("actor").alias("actor"), name("target").alias("target"), given.alias("action"), F.lit(0.0).alias("weight"))
+    last = log.where("action = 'reset'").groupBy(F.col("target").alias("username")).agg(F.max("seq").alias("_reset"))
+    return a.unionByName(b).join(last, "username", "left").where("_reset IS NULL OR seq > _reset").drop("_reset")
+
+
+def newest_first(log: DataFrame) -> DataFrame:
+    """Users in order, each user's rows from the last to the first."""
+    return log.orderBy("username", F.desc("seq"), F.desc("action"))
 
 
 class Ledger:
@@ -156,7 +179,7 @@ class Ledger:
     def __init__(self, now=None):
         self.users: dict[str, float] = {}
         self.log: dict[str, list[tuple]] = {}
-        self.spammers: list[str] = []
+        self.spammers: list[str] = []  # stays over resets and deletions
         self.now = now or __import__("time").time
 
     def add_user(self, name: str) -> None:
@@ -196,13 +219,13 @@ class Ledger:
             recent = [x[0] for x in self.log[name] if self.now() - x[2] < HOUR / 1e6]
             if name not in self.spammers and (recent.count("reported") >= SPAM_REPORTS or recent.count("accepted") >= SPAM_ACCEPTS):
                 w = Fold(self.users).apply(name, name, "spam")
-                self.log[name].append(("spam_detected", name, self.now(), w))
+                self.log[name].append(("spam_detected", "system", self.now(), w))
                 self.spammers.append(name)
         return self.spammers
 
     def reset_user(self, name: str) -> None:
-        self.get_user(name)
-        self.users[name], self.log[name] = INITIAL, []
+        if name in self.users:
+            self.users[name], self.log[name] = INITIAL, []
 
     def reset_all(self) -> None:
         for name in self.users:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from inspect import signature
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinfabric.functions.text import decade, email_domain
-from kinfabric.operators import composite, generator, gbt, linkage, sybil, trust, viz
+from kinfabric.operators import composite, gbt, generator, linkage, linkage_run, sybil, trust, viz
 from kinfabric.operators.graph import Graph, adjacency, first_wins, top
 from kinfabric.operators.transformer import Encoder, similarity
 from kinfabric.plans import oracle as sql
@@ -30,8 +28,8 @@ def query(oracle: str | None = None):
     return add
 
 
-def graph(spark: SparkSession, d: str, edges=views.edges) -> Graph:
-    return Graph(views.nodes(spark, d).select("node_id", "node_ord", "kind", "name"), edges(spark, d))
+def graph(spark: SparkSession, d: str) -> Graph:
+    return Graph(views.nodes(spark, d).select("node_id", "node_ord", "kind", "name"), views.edges(spark, d))
 
 
 def r6(c) -> F.Column:
@@ -55,28 +53,55 @@ def fs_score(spark, d):
 
 @query(sql.FS_ACCURACY)
 def fs_accuracy(spark, d):
-    out = linkage.accuracy_at(fs_score(spark, d), "Felligi_Sunter_Similarity_Score")
+    out = linkage.fs_accuracy(views.subjects(spark, d))
     return out.select(r6("accuracy").alias("accuracy"), r6("recall").alias("recall"), "pairs")
 
 
+@query(sql.AGREEMENTS)
+def agreement_counts(spark, d):
+    return linkage.agreement_counts(views.subjects(spark, d))
+
+
 @query(sql.PAIR_LABELS)
 def pair_labels(spark, d):
-    return pairs(spark, d).where(linkage.label() == 1).select(F.col("l.uuid").alias("one"), F.col("r.uuid").alias("two"), linkage.label().alias("label"))
+    return linkage.labelled_pairs(views.subjects(spark, d)).select(F.col("l.uuid").alias("one"), F.col("r.uuid").alias("two"), linkage.label().alias("label"))
 
 
 @query(sql.PATTERNS)
 def pattern_counts(spark, d):
-    return linkage.pattern_counts(pairs(spark, d))
+    return linkage.pattern_counts(views.subjects(spark, d))
+
+
+@query(sql.BLOCKED)
+def blocked_pairs(spark, d):
+    """Pairs that agree on surname and city, and the share of all matches that they hold (the recall of blocking)."""
+    subjects = views.subjects(spark, d)
+    kept = linkage.pairs(subjects, blocking=["last_name", "birth_city"]).agg(F.count("*").alias("pairs"), F.sum(linkage.label()).alias("found"))
+    every = linkage.labelled_pairs(subjects).agg(F.count("*").alias("matches"))
+    return kept.join(F.broadcast(every)).select("pairs", r6(F.col("found") / F.col("matches")).alias("recall"))  # one row
 
 
 def _model(spark, d) -> gbt.BoostedTrees:
-    return gbt.BoostedTrees().train(gbt.training_counts(pairs(spark, d)))
+    return gbt.BoostedTrees().train(gbt.training_counts(views.subjects(spark, d)))
 
 
 @query()
 def gbt_scores(spark, d):
-    rows = _model(spark, d).score(pairs(spark, d).withColumn("label", linkage.label()))
-    return rows.groupBy("pattern", "label").agg(F.count("*").alias("n"), r6(F.first("gbt")).alias("gbt"))
+    rows = written(linkage.pattern_counts(views.subjects(spark, d)), "patterns")
+    model = gbt.BoostedTrees().train([tuple(r) for r in rows.orderBy("pattern", "label").collect()])  # at most 512 rows
+    return rows.join(F.broadcast(model.table(spark)), "pattern").select("pattern", "label", "n", r6("gbt").alias("gbt"))  # 256 rows
+
+
+@query(sql.RESULTS)
+def linkage_results(spark, d):
+    """A run before any training: the trees say 0.5, the encoder and the composite nothing."""
+    return linkage_run.run(views.subjects(spark, d), linkage_run.Models(gbt.BoostedTrees()))
+
+
+@query(sql.ACCURACIES)
+def linkage_accuracies(spark, d):
+    rows = linkage_run.accuracies(written(linkage_results(spark, d), "results"))
+    return rows.select("model", r6("accuracy").alias("accuracy"), r6("recall").alias("recall"), "pairs")
 
 
 def _encoded(spark, d, encoder: Encoder) -> DataFrame:
@@ -107,18 +132,18 @@ def graph_nodes(spark, d):
 
 
 @query(sql.EDGES)
-def graph_edges(spark, d, edges=views.edges):
-    return edges(spark, d)
+def graph_edges(spark, d):
+    return views.edges(spark, d)
 
 
 @query(sql.COUNTS)
-def graph_counts(spark, d, edges=views.edges):
-    return graph(spark, d, edges).counts()
+def graph_counts(spark, d):
+    return graph(spark, d).counts()
 
 
 def _neighbors(direction):
-    def run(spark, d, edges=views.edges):
-        return graph(spark, d, edges).neighbors(direction)
+    def run(spark, d):
+        return graph(spark, d).neighbors(direction)
 
     QUERIES[f"neighbors_{direction}"] = run
     ORACLES[f"neighbors_{direction}"] = sql.neighbors(direction)
@@ -129,219 +154,207 @@ for _direction in ("all", "outgoing", "incoming", "undirected"):
 
 
 @query(sql.DEGREE)
-def degree(spark, d, edges=views.edges):
-    return graph(spark, d, edges).degrees()
+def degree(spark, d):
+    return graph(spark, d).degrees()
 
 
 @query(sql.AVG_DEGREE)
-def avg_degree(spark, d, edges=views.edges):
-    return graph(spark, d, edges).degrees().agg(r6(F.avg("degree")).alias("avg_degree"))
+def avg_degree(spark, d):
+    return graph(spark, d).degrees().agg(r6(F.avg("degree")).alias("avg_degree"))
 
 
 @query(sql.FIRST_WINS)
-def add_edge_firstwins(spark, d, edges=views.edges):
+def add_edge_firstwins(spark, d):
+    """Trade of all customers, added to a graph that has that of the even ones."""
     lines = views.table(spark, d, "lineitem").join(views.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     new = lines.groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"))
     new = new.agg(F.min(F.struct("l_orderkey", "l_linenumber"))["l_orderkey"].alias("edge_ord")).withColumn("directed", F.lit(False)).withColumn("type", F.lit("order"))
-    out = graph(spark, d, edges).add_edges(new, check=False)
+    g = graph(spark, d)
+    known = Graph(g.nodes, g.edges.where("type <> 'trade' OR CAST(substring(source, 2) AS BIGINT) % 2 = 0"))
+    out = known.add_edges(new, check=False)
     return out.edges.groupBy("type").agg(F.count("*").alias("n"), F.sum("edge_ord").alias("ords"))
 
 
 @query(sql.CASCADE)
-def remove_node_cascade(spark, d, edges=views.edges):
-    g = graph(spark, d, edges)
+def remove_node_cascade(spark, d):
+    g = graph(spark, d)
     out = g.remove_nodes(g.nodes.where("kind = 'nation'"))
     return out.edges.groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query(sql.DANGLING)
-def dangling_edges(spark, d, edges=views.edges):
-    g = graph(spark, d, edges)
+def dangling_edges(spark, d):
+    g = graph(spark, d)
     return Graph(g.nodes.where("kind <> 'supplier'"), g.edges).dangling().select("source", "target", "type")
 
 
 @query(sql.PATHS)
-def paths_le4(spark, d, edges=views.edges):
-    return graph(spark, d, edges).paths("n0", "n1", 5).select(F.concat_ws(">", "path").alias("path"))
+def paths_le4(spark, d):
+    return graph(spark, d).paths("n0", "n1", 5).select(F.concat_ws(">", "path").alias("path"))
 
 
 @query(sql.clustering("ordered"))
-def clustering_ordered(spark, d, edges=views.edges):
-    return graph(spark, d, edges).clustering("ordered").select("node_id", r6("clustering").alias("clustering"))
+def clustering_ordered(spark, d):
+    return graph(spark, d).clustering("ordered").select("node_id", r6("clustering").alias("clustering"))
 
 
 @query(sql.clustering("any"))
-def clustering_any(spark, d, edges=views.edges):
-    return graph(spark, d, edges).clustering("any").select("node_id", r6("clustering").alias("clustering"))
+def clustering_any(spark, d):
+    return graph(spark, d).clustering("any").select("node_id", r6("clustering").alias("clustering"))
 
 
 @query(sql.COMPONENTS)
-def components(spark, d, edges=views.edges):
-    return graph(spark, d, edges).components().groupBy("component").agg(F.count("*").alias("n"))
+def components(spark, d):
+    """Of the location edges: one component a region."""
+    g = graph(spark, d)
+    return Graph(g.nodes, g.edges.where("type <> 'trade'")).components().groupBy("component").agg(F.count("*").alias("n"))
 
 
 # Sybil detection
 
 
 @query(sql.SEEDS)
-def seeds_degree(spark, d, edges=views.edges):
-    return sybil.select_seeds(graph(spark, d, edges), 10)
+def seeds_degree(spark, d):
+    return sybil.select_seeds(graph(spark, d), 10)
 
 
 @query(sql.SEEDS_RANDOM)
-def seeds_random(spark, d, edges=views.edges):
-    return sybil.select_seeds(graph(spark, d, edges), 10, "random")
+def seeds_random(spark, d):
+    return sybil.select_seeds(graph(spark, d), 10, "random")
 
 
 @query(sql.SEEDS_CLUSTERING)
-def seeds_clustering(spark, d, edges=views.edges):
-    return sybil.select_seeds(graph(spark, d, edges), 10, "clustering")
+def seeds_clustering(spark, d):
+    return sybil.select_seeds(graph(spark, d), 10, "clustering")
 
 
 @query(sql.BETWEENNESS)
-def betweenness(spark, d, edges=views.edges):
-    return sybil.betweenness(graph(spark, d, edges)).where("betweenness > 0").select("node_id", r6("betweenness").alias("betweenness"))
+def betweenness(spark, d):
+    return sybil.betweenness(graph(spark, d)).where("betweenness > 0").select("node_id", r6("betweenness").alias("betweenness"))
 
 
-@query()
-def seeds_betweenness(spark, d, edges=views.edges):
-    return sybil.select_seeds(graph(spark, d, edges), 10, "betweenness")
+@query(sql.SEEDS_BETWEENNESS)
+def seeds_betweenness(spark, d):
+    return sybil.select_seeds(graph(spark, d), 10, "betweenness")
+
 
+def _stored(spark, d) -> Graph:
+    """The graph with its edges written once, for queries that read them often."""
+    g = graph(spark, d)
+    return Graph(g.nodes, written(g.edges, "edges"))
 
-def _walks(spark, d, length, edges=views.edges):
-    g = graph(spark, d, edges)
+
+def _walks(spark, d, length):
+    g = _stored(spark, d)
     return g, written(sybil.walks(g, sybil.select_seeds(g, 10), 100, length), "walks")
 
 
 @query(sql.walks(20, "SELECT * FROM walks"))
-def walks_guard(spark, d, edges=views.edges):
-    return _walks(spark, d, 20, edges)[1]
+def walks_guard(spark, d):
+    return _walks(spark, d, 20)[1]
 
 
 @query(sql.walks(25, "SELECT * FROM walks"))
-def walks_limit(spark, d, edges=views.edges):
-    return _walks(spark, d, 25, edges)[1]
+def walks_limit(spark, d):
+    return _walks(spark, d, 25)[1]
 
 
 @query(sql.walks(20, sql.DIVERSITY))
-def guard_diversity(spark, d, edges=views.edges):
-    return sybil.path_diversity(*_walks(spark, d, 20, edges)).select("node_id", r6("diversity").alias("diversity"))
+def guard_diversity(spark, d):
+    return sybil.path_diversity(*_walks(spark, d, 20)).select("node_id", r6("diversity").alias("diversity"))
 
 
 @query(sql.walks(20, sql.ATTACK))
-def guard_attack_edges(spark, d, edges=views.edges):
-    return sybil.attack_edges(_walks(spark, d, 20, edges)[1], 0.01).select("source", "target", r6("frequency").alias("frequency"))
+def guard_attack_edges(spark, d):
+    return sybil.attack_edges(_walks(spark, d, 20)[1], 0.01).select("source", "target", r6("frequency").alias("frequency"))
 
 
 @query(sql.walks(20, sql.GUARD))
-def guard_scores(spark, d, edges=views.edges):
-    return sybil.guard_scores(*_walks(spark, d, 20, edges)).select("node_id", r6("score").alias("score"))
+def guard_scores(spark, d):
+    return sybil.guard_scores(*_walks(spark, d, 20)).select("node_id", r6("score").alias("score"))
 
 
 @query(sql.walks(20, sql.GUARD_SYBILS))
-def guard_sybils(spark, d, edges=views.edges):
-    return sybil.guard_sybils(sybil.guard_scores(*_walks(spark, d, 20, edges))).agg(F.count("*").alias("n"))
+def guard_sybils(spark, d):
+    return sybil.guard_sybils(sybil.guard_scores(*_walks(spark, d, 20))).agg(F.count("*").alias("n"))
 
 
-@query()
-def guard_top_k(spark, d, edges=views.edges):
-    return top(sybil.guard_scores(*_walks(spark, d, 20, edges)), r6("score"), 10).select("node_id", r6("score").alias("score"))
+@query(sql.walks(20, sql.GUARD_TOP))
+def guard_top_k(spark, d):
+    return top(sybil.guard_scores(*_walks(spark, d, 20)), r6("score"), 10).select("node_id", r6("score").alias("score"))
 
 
 @query(sql.walks(25, sql.MIXING))
-def limit_mixing(spark, d, edges=views.edges):
-    rows = sybil.mixing(_walks(spark, d, 25, edges)[1])
+def limit_mixing(spark, d):
+    rows = sybil.mixing(_walks(spark, d, 25)[1])
     return rows.select("node_id", "walks_through", "early", "late", r6("mixing_ratio").alias("mixing_ratio"), r6("visit_frequency").alias("visit_frequency"))
 
 
 @query(sql.walks(25, sql.BALANCE))
-def limit_balance(spark, d, edges=views.edges):
-    return sybil.balance(*_walks(spark, d, 25, edges)).select("node_id", r6("balance").alias("balance"))
+def limit_balance(spark, d):
+    return sybil.balance(*_walks(spark, d, 25)).select("node_id", r6("balance").alias("balance"))
 
 
 @query(sql.walks(25, sql.ACCEPTANCE))
-def limit_acceptance(spark, d, edges=views.edges):
-    return sybil.acceptance(*_walks(spark, d, 25, edges)).select("node_id", r6("acceptance").alias("acceptance"))
+def limit_acceptance(spark, d):
+    return sybil.acceptance(*_walks(spark, d, 25)).select("node_id", r6("acceptance").alias("acceptance"))
+
+
+@query(sql.walks(25, sql.AVERAGE))
+def limit_average(spark, d):
+    return sybil.average_acceptance(sybil.acceptance(*_walks(spark, d, 25))).select(r6("average").alias("average"))
 
 
 @query(sql.walks(25, sql.LIMIT_SYBILS))
-def limit_sybils(spark, d, edges=views.edges):
-    return sybil.limit_sybils(sybil.acceptance(*_walks(spark, d, 25, edges))).agg(F.count("*").alias("n"))
+def limit_sybils(spark, d):
+    return sybil.limit_sybils(sybil.acceptance(*_walks(spark, d, 25))).agg(F.count("*").alias("n"))
 
 
 @query(sql.walks(25, sql.TOP_TRUSTED))
-def limit_top_trusted(spark, d, edges=views.edges):
-    return top(sybil.acceptance(*_walks(spark, d, 25, edges)), r6("acceptance"), 10).select("node_id", r6("acceptance").alias("acceptance"))
+def limit_top_trusted(spark, d):
+    return top(sybil.acceptance(*_walks(spark, d, 25)), r6("acceptance"), 10).select("node_id", r6("acceptance").alias("acceptance"))
 
 
 @query(sql.walks(25, sql.TOP_SUSPICIOUS))
-def limit_top_suspicious(spark, d, edges=views.edges):
-    return top(sybil.acceptance(*_walks(spark, d, 25, edges)), r6("acceptance"), 10, descending=False).select("node_id", r6("acceptance").alias("acceptance"))
+def limit_top_suspicious(spark, d):
+    return top(sybil.acceptance(*_walks(spark, d, 25)), r6("acceptance"), 10, descending=False).select("node_id", r6("acceptance").alias("acceptance"))
+
+
+def _ranks(spark, d, **options):
+    g = _stored(spark, d)
+    return sybil.propagate(g, sybil.select_seeds(g, 10), **options)
 
 
-def _ranks(spark, d, edges=views.edges):
-    g = graph(spark, d, edges)
-    return sybil.propagate(g, sybil.select_seeds(g, 10), iterations=10, fixed=True)
+@query(sql.rank_after(10, "SELECT node_id, round(trust, 6) AS trust FROM ranks"))
+def rank_trust_k10(spark, d):
+    """The first ten steps alone."""
+    return _ranks(spark, d, iterations=10, fixed=True).select("node_id", r6("trust").alias("trust"))
 
 
 @query(sql.rank("SELECT node_id, round(trust, 6) AS trust FROM ranks"))
-def rank_trust_k10(spark, d, edges=views.edges):
-    return _ranks(spark, d, edges).select("node_id", r6("trust").alias("trust"))
+def rank_trust(spark, d):
+    return _ranks(spark, d).select("node_id", r6("trust").alias("trust"))
 
 
 @query(sql.rank("SELECT node_id, round(1 - trust, 6) AS score FROM ranks WHERE 1 - trust >= 1 - 0.1"))
-def rank_sybil(spark, d, edges=views.edges):
-    return sybil.rank_sybils(_ranks(spark, d, edges)).select("node_id", r6("score").alias("score"))
+def rank_sybil(spark, d):
+    return sybil.rank_sybils(_ranks(spark, d)).select("node_id", r6("score").alias("score"))
 
 
 @query(sql.rank("SELECT node_id FROM ranks WHERE trust >= 0.1"))
-def rank_honest(spark, d, edges=views.edges):
-    return sybil.rank_honest(_ranks(spark, d, edges)).select("node_id")
+def rank_honest(spark, d):
+    return sybil.rank_honest(_ranks(spark, d)).select("node_id")
 
 
 @query(sql.rank(sql.STATS))
-def rank_stats(spark, d, edges=views.edges):
-    rows = sybil.trust_stats(_ranks(spark, d, edges))
+def rank_stats(spark, d):
+    rows = sybil.trust_stats(_ranks(spark, d))
     return rows.select(*[r6(c).alias(c) for c in ("mean", "median", "std", "low", "high")], "trusted", "total")
 
 
 @query(sql.rank("SELECT node_id, round(trust, 6) AS trust FROM ranks JOIN nodes USING (node_id) ORDER BY round(trust, 6) DESC, node_ord LIMIT 10"))
-def rank_top_k(spark, d, edges=views.edges):
-    return top(_ranks(spark, d, edges), r6("trust"), 10).select("node_id", r6("trust").alias("trust"))
-
-
-# Propagation until it settles (no SQL can unroll that); the queries above take ten steps, as their SQL does
-
-
-def _settled(spark, d, edges=views.edges):
-    g = graph(spark, d, edges)
-    return sybil.propagate(g, sybil.select_seeds(g, 10))
-
-
-@query()
-def rank_trust(spark, d, edges=views.edges):
-    return _settled(spark, d, edges).select("node_id", r6("trust").alias("trust"))
-
-
-@query()
-def rank_sybil_settled(spark, d, edges=views.edges):
-    return sybil.rank_sybils(_settled(spark, d, edges)).select("node_id", r6("score").alias("score"))
-
-
-@query()
-def rank_honest_settled(spark, d, edges=views.edges):
-    return sybil.rank_honest(_settled(spark, d, edges)).select("node_id")
-
-
-@query()
-def rank_stats_settled(spark, d, edges=views.edges):
-    rows = sybil.trust_stats(_settled(spark, d, edges))
-    return rows.select(*[r6(c).alias(c) for c in ("mean", "median", "std", "low", "high")], "trusted", "total")
-
-
-@query()
-def rank_top_k_settled(spark, d, edges=views.edges):
-    return top(_settled(spark, d, edges), r6("trust"), 10).select("node_id", r6("trust").alias("trust"))
+def rank_top_k(spark, d):
+    return top(_ranks(spark, d), r6("trust"), 10).select("node_id", r6("trust").alias("trust"))
 
 
 # Trust ledger
@@ -357,23 +370,44 @@ def trust_spam_flags(spark, d):
     return trust.spam_flags(views.interactions(spark, d))
 
 
-def _log(spark, d):
-    rows = written(trust.ledger(views.interactions(spark, d)), "ledger")
-    ends = rows.select(F.col("actor").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.lit(False).alias("directed"))
+def _log(spark, d, interactions=views.interactions):
+    rows = written(trust.ledger(interactions(spark, d)), "ledger")
+    ends = rows.select(F.col("actor").cast("string").alias("source"), F.col("target").cast("string").alias("target"), F.lit(False).alias("directed")).distinct()
+    ends = written(ends, "ends")
     people = ends.select(F.explode(F.array("source", "target")).alias("node_id")).distinct().withColumn("node_ord", F.col("node_id").cast("long"))
-    labels = Graph(people, ends.where("source <> target").distinct()).components()
+    labels = Graph(people, ends.where("source <> target")).components()
     return trust.fold(rows, labels.select(F.col("node_id").cast("long"), F.col("component").cast("long")))
 
 
-@query()
-def trust_scores(spark, d):
+def _scores(spark, d, log):
     users = views.table(spark, d, "events").select(F.col("user_id").alias("username")).distinct()
-    return trust.user_scores(_log(spark, d), users).select("username", F.round("trust_score", 9).alias("trust_score"))
+    return trust.user_scores(log, users).select("username", F.round("trust_score", 6).alias("trust_score"))
 
 
-@query()
+@query(sql.trust("scores"))
+def trust_scores(spark, d):
+    return _scores(spark, d, _log(spark, d))
+
+
+@query(sql.trust("log"))
 def trust_log(spark, d):
-    return trust.interaction_log(_log(spark, d)).select("username", "seq", "action", F.round("weight", 9).alias("weight"))
+    return trust.interaction_log(_log(spark, d)).select("username", "seq", "actor", "target", "action", r6("weight").alias("weight"))
+
+
+@query(sql.trust("scores", resets=True))
+def trust_after_reset(spark, d):
+    return _scores(spark, d, _log(spark, d, views.interactions_with_resets))
+
+
+@query(sql.trust("log", resets=True))
+def trust_log_after_reset(spark, d):
+    log = trust.interaction_log(_log(spark, d, views.interactions_with_resets))
+    return log.select("username", "seq", "actor", "target", "action", r6("weight").alias("weight"))
+
+
+@query(sql.trust("flags", resets=True))
+def trust_flags_after_reset(spark, d):
+    return trust.spam_flags(views.interactions_with_resets(spark, d))
 
 
 # Clusters, families, connections
@@ -396,17 +430,28 @@ def email_clusters(spark, d):
 
 @query(sql.GENERATIONS)
 def family_generations(spark, d):
-    return generator.generations(views.subjects(spark, d)).select("uuid", "last_name", "generation")
+    return generator.generations(views.relatives(spark, d)).select("uuid", "last_name", "generation")
+
+
+@query(sql.FAMILIES)
+def families(spark, d):
+    return generator.families(views.relatives(spark, d)).select("uuid", "family_id", "generation")
 
 
 @query(sql.PARENT_CHILD)
 def parent_child(spark, d):
-    return generator.parent_child(generator.generations(views.subjects(spark, d))).groupBy("last_name").agg(F.count("*").alias("n"))
+    return generator.parent_child(generator.families(views.relatives(spark, d)))
 
 
 @query(sql.SIBLINGS)
 def siblings(spark, d):
-    return generator.siblings(generator.generations(views.subjects(spark, d))).groupBy("last_name").agg(F.count("*").alias("n"))
+    return generator.siblings(generator.families(views.relatives(spark, d)))
+
+
+@query(sql.SPOUSES)
+def spouses(spark, d):
+    people = views.relatives(spark, d)
+    return generator.spouses(people, generator.families(people))
 
 
 @query(sql.DEDUP)
@@ -415,42 +460,58 @@ def dedup_connections(spark, d):
     return generator.dedup_connections(lines).select("source", "target", "edge_ord")
 
 
-@query()
+def _people(spark, d):
+    """As many as customers."""
+    return generator.people(spark, views.table(spark, d, "customer").count(), seed=7)
+
+
+@query(sql.PEOPLE)
 def generated_people(spark, d):
-    return generator.people(spark, 500, seed=7)
+    return _people(spark, d)
 
 
-@query()
+@query(sql.CONNECTIONS)
 def generated_connections(spark, d):
-    return generator.connections(written(generator.people(spark, 500, seed=7), "people"), 300, seed=7)
+    people = written(_people(spark, d), "people")
+    return generator.connections(people, people.count(), seed=7).select("source", "target", "directed", "type", "relationship", "detail")
 
 
-@query()
+@query(sql.SUMMARY)
+def generated_summary(spark, d):
+    return generator.summary(generated_connections(spark, d))
+
+
+@query(sql.SEQUENCES)
 def generated_sequences(spark, d):
-    return generator.sequences(spark, 100, 5, seed=7)
+    return generator.sequences(spark, views.table(spark, d, "customer").count(), 5, seed=7)
 
 
 # Presentation, streams
 
 
 @query(sql.VIZ_NODES)
-def viz_nodes(spark, d, edges=views.edges):
-    return viz.viz_nodes(graph(spark, d, edges)).select("node_id", "degree", r6("size").alias("size"))
+def viz_nodes(spark, d):
+    return viz.viz_nodes(graph(spark, d)).select("node_id", "degree", r6("size").alias("size"), r6("font_size").alias("font_size"))
 
 
-@query()
-def viz_colors(spark, d, edges=views.edges):
-    return viz.viz_nodes(graph(spark, d, edges)).select("node_id", "color")
+@query(sql.VIZ_COLORS)
+def viz_colors(spark, d):
+    return viz.viz_nodes(graph(spark, d)).select("node_id", "color")
 
 
 @query(sql.VIZ_EDGES)
-def viz_edges(spark, d, edges=views.edges):
-    return viz.viz_edges(graph(spark, d, edges))
+def viz_edges(spark, d):
+    return viz.viz_edges(graph(spark, d))
+
+
+@query(sql.VIZ_STYLE)
+def viz_edge_style(spark, d):
+    return viz.edge_style(graph(spark, d)).select("source", "target", "directed", "width", "color", "dashes", "title")
 
 
 @query(sql.HIGHLIGHT)
-def highlight(spark, d, edges=views.edges):
-    return viz.highlight(graph(spark, d, edges), "n0")
+def highlight(spark, d):
+    return viz.highlight(graph(spark, d), "n0")
 
 
 @query(sql.HOURLY)
@@ -461,18 +522,3 @@ def activity_windows(spark, d):
 @query(sql.SESSIONS)
 def activity_sessions(spark, d):
     return activity.sessions(views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes").select("user_id", "n", r6("value").alias("value"))
-
-
-# The same over all trades; the queries above keep the sample of trades that their SQL is written for
-
-
-def _whole(name, f):
-    def run(spark, d):
-        return f(spark, d, edges=views.all_edges)
-
-    QUERIES[f"{name}_whole"] = run
-
-
-for _name, _f in list(QUERIES.items()):
-    if "edges" in signature(_f).parameters:
-        _whole(_name, _f)

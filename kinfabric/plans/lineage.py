@@ -22,3 +22,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`written` returned, once nothing that is still to run reads them."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            spark = table.sparkSession
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

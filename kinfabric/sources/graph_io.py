@@ -30,8 +30,14 @@ def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return last(nodes, ["node_id"], "node_ord"), last(edges, ["source", "target"], "edge_ord")
 
 
-def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One document, as the format asks; graphs of any size go to :func:`write_graph` instead."""
+#: Nodes and edges that one JSON document may hold.
+MOST_IN_DOCUMENT = 1_000_000
+
+
+def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str, most: int = MOST_IN_DOCUMENT) -> None:
+    """One document, as the format asks, so of at most ``most`` nodes and edges; larger graphs go to :func:`write_graph`."""
+    if nodes.limit(most + 1).count() + edges.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} nodes and edges for one document; write_graph writes Parquet")
     meta = lambda df: F.parse_json("metadata") if "metadata" in df.columns else F.parse_json(F.lit("{}"))
     order = "node_ord" if "node_ord" in nodes.columns else "node_id"
     n = nodes.select(F.struct(F.col(order).alias("_o"), F.struct("node_id", meta(nodes).alias("metadata")).alias("x")).alias("s"))
@@ -74,7 +80,12 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_trust_state(users: DataFrame, path: str) -> None:
-    """``users``: username, trust_score, interactions. Flags of spammers are not part of the state."""
+    """``users``: username, trust_score, interactions. Flags of spammers are not part of the state.
+
+    One document, so for at most ``MOST_IN_DOCUMENT`` users; larger ledgers are Parquet tables.
+    """
+    if users.limit(MOST_IN_DOCUMENT + 1).count() > MOST_IN_DOCUMENT:
+        raise ValueError(f"more than {MOST_IN_DOCUMENT} users for one document; write a Parquet table")
     entries = users.select(F.struct("username", F.struct("trust_score", "interactions").alias("v")).alias("e"))
     entries.groupBy().agg(F.map_from_entries(F.sort_array(F.collect_list("e"))).alias("users")).coalesce(1).write.mode("overwrite").json(path)
 

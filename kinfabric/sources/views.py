@@ -23,21 +23,14 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-TRADE_SAMPLE = "l_shipdate < '1996-01-01' AND l_quantity >= 45 AND l_returnflag = 'R'"
-
-
-def edges(spark: SparkSession, d: str, trades: str = TRADE_SAMPLE) -> DataFrame:
-    """(source, target, directed, type): location edges, and trade between customers and suppliers.
-
-    ``trades`` picks the lines that make trade edges: a fixed sample, as in FIXTURES.md and the SQL.
-    """
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    """(source, target, directed, type): location edges, and trade between customers and suppliers, one edge a pair."""
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
 
     def of(df, a, b, directed, kind):
         return df.select(a.alias("source"), b.alias("target"), F.lit(directed).alias("directed"), F.lit(kind).alias("type"))
 
-    lines = table(spark, d, "lineitem").where(trades)
-    trade = lines.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    trade = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
     return (
         of(table(spark, d, "nation"), key("n", "n_nationkey"), key("r", "n_regionkey"), True, "located_in")
         .unionByName(of(table(spark, d, "supplier"), key("s", "s_suppkey"), key("n", "s_nationkey"), False, "based_in"))
@@ -46,9 +39,20 @@ def edges(spark: SparkSession, d: str, trades: str = TRADE_SAMPLE) -> DataFrame:
     )
 
 
-def all_edges(spark: SparkSession, d: str) -> DataFrame:
-    """:func:`edges` with the trade of every line."""
-    return edges(spark, d, "true")
+def relatives(spark: SparkSession, d: str) -> DataFrame:
+    """(node_ord, uuid, last_name, dob): one person a customer, twelve in turn to a surname.
+
+    Three of four surnames span three generations, 38 years apart; the fourth has one.
+    """
+    k = F.col("c_custkey").cast("long")
+    year = 1920 + F.when(F.floor(k / 12) % 4 == 0, 0).otherwise(38 * (k % 3)) + k * 7 % 18
+    day = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return table(spark, d, "customer").select(
+        k.alias("node_ord"),
+        F.concat(F.lit("p"), k.cast("string")).alias("uuid"),
+        F.concat(F.lit("house"), F.floor(k / 12).cast("string")).alias("last_name"),
+        F.concat_ws("-", year.cast("string"), day(1 + k % 12), day(1 + k * 5 % 28)).alias("dob"),
+    )
 
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -96,3 +100,10 @@ def interactions(spark: SparkSession, d: str, span: int = SPAN_SECONDS) -> DataF
         ((F.col("user_id") + 1 + F.col("event_id") * 7 % (F.col("u") - 1)) % F.col("u")).alias("target"),
         action.alias("action"),
     )
+
+
+def interactions_with_resets(spark: SparkSession, d: str, every: int = 50) -> DataFrame:
+    """:func:`interactions` with seq doubled, and behind each event whose id is a multiple of ``every`` a reset of its actor."""
+    rows = interactions(spark, d).withColumn("seq", F.col("seq") * 2)
+    reset = rows.where(F.col("seq") % (2 * every) == 0).select((F.col("seq") + 1).alias("seq"), "ts", "actor", F.col("actor").alias("target"), F.lit("reset").alias("action"))
+    return rows.unionByName(reset)
