@@ -24,8 +24,37 @@ def test_generate_and_detect(spark, tmp_path, capsys):
     for kind in cli.METHODS:
         seen, worst = cli.detect(spark, kind, path, seeds=3, k=5)
         assert worst.count() == 5 and seen.ratio().first()["total"] == 60
+        assert all(len(r["name"].split()) >= 2 for r in worst.collect())
     with pytest.raises(ValueError):
         cli.detect(spark, "guard", path, method="betweenness")
+    with pytest.raises(ValueError):
+        cli.generate(spark, 4, 7, path)
+    cli.train(spark, path, str(tmp_path / "models"), epochs=1, max_samples=50)
+    table = cli.link(spark, path, str(tmp_path / "models"), str(tmp_path / "out"))
+    assert table.count() == 4 and spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 60 * 59 // 2
+    assert "<canvas" in viz.html_of_file(spark, path, title="a < b")
+
+
+def test_trust_commands(tmp_path):
+    path = str(tmp_path / "state.json")
+    act = lambda *a: cli.trust(path, *a)
+    for name in "abcdefg":
+        act("add", name)
+    assert act("vet", "a", "b") == ["a vet b: done"] and act("vet", "a", "b") == ["a vet b: refused"]
+    assert act("show", "b")[0] == "b: 58.0" and "vetted_by a (+8)" in act("show", "b")[1]
+    for name in "bcdef":
+        assert act("report", "a", name) == [f"a report {name}: done"]
+    assert act("report", "a", "g") == ["a report g: refused"] and act("spam") == ["a"]
+    assert act("show", "a")[0] == "a: 30.0"
+    act("reset", "a")
+    assert act("show", "a") == ["a: 50.0"]
+    act("delete", "g")
+    with pytest.raises(ValueError):
+        act("accept", "a", "g")
+    with pytest.raises(ValueError):
+        act("dance")
+    act("delete-all")
+    assert json.load(open(path)) == {"users": {}}
 
 
 def test_sequences(spark, tmp_path):

@@ -1,5 +1,6 @@
 """Vectors and slow oracles for the graph, sybil, linkage, trust and generator operators."""
 
+import collections
 import json
 import random
 
@@ -7,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfabric.operators import gbt, generator, linkage, sybil, trust, viz
+from kinfabric.operators import composite, gbt, generator, linkage, linkage_run, sybil, trust, viz
 from kinfabric.operators.graph import Graph
 from kinfabric.operators.transformer import Encoder, byte_ids
-from kinfabric.sources import graph_io
+from kinfabric.plans.catalog import QUERIES
+from kinfabric.sources import graph_io, views
 
 
 def graph(spark, n, edges):
@@ -83,17 +85,125 @@ def test_isolated_node_is_flagged(spark):
     assert found.ratio().first()["total"] == 4
 
 
-def test_linkage_vectors(spark):
-    def prob(left, right):
-        names = [f"{f} string" for f in linkage.FIELDS]
-        rows = spark.createDataFrame([(0, "a", "x", *left), (1, "b", "x", *right)], "subject_ord long, uuid string, base_id string, " + ", ".join(names))
-        return linkage.pairs(rows).select(linkage.fs_score().alias("p"), linkage.pattern().alias("k")).first()
+def subject(i, values):
+    return (i, f"s{i}", "x", *values)
+
+
+def subjects(spark, rows):
+    return spark.createDataFrame(rows, "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
 
-    same = tuple("abcdefgh")
-    assert prob(same, same).p == pytest.approx(0.9999999999967643)
-    assert prob([None] * 8, same).p == pytest.approx(0.5000000250000001)
-    assert prob(same, tuple("stuvwxyz")).p == pytest.approx(8.927154385500064e-12)
-    assert prob(["O'Neil"] + [None] * 7, ["oneil"] + [None] * 7).p > 0.89 and prob([None] * 8, [None] * 8).k == 255
+
+def test_linkage_vectors(spark):
+    """Each vector as log-odds: probabilities near 0 hide a wrong weight."""
+    vectors = {
+        "0100-0-1": -9.06678379570457,
+        "--------": 1e-07,
+        "11111111": 26.456748593146717,
+        "00000000": -25.44192342965215,
+        "0000-110": -8.55293642622473,
+        "1-11----": 12.722363408727222,
+    }
+    for text, odds in vectors.items():
+        left = [None if c == "-" else "same" for c in text]
+        right = [None if c == "-" else "same" if c == "1" else "other" for c in text]
+        got = linkage.pairs(subjects(spark, [subject(0, left), subject(1, right)])).select(linkage.log_odds().alias("o"), linkage.fs_score().alias("p")).first()
+        assert got.o == pytest.approx(odds, rel=1e-12) and got.p == pytest.approx(1 / (1 + np.exp(-odds)), rel=1e-9)
+    bare = linkage.pairs(subjects(spark, [subject(0, ["O'Neil", *[None] * 7]), subject(1, ["oneil", *[None] * 7])]))
+    assert bare.select(linkage.fs_score().alias("p")).first().p > 0.89
+    void = linkage.pairs(subjects(spark, [subject(0, [None] * 8), subject(1, [None] * 8)]))
+    assert void.select(linkage.pattern().alias("k")).first().k == 255
+
+
+def test_counted_pairs_are_the_made_ones(spark):
+    rng = random.Random(9)
+    rows = [(i, f"s{i}", f"b{rng.randrange(20)}" if rng.random() < 0.9 else None, *[rng.choice(["a", "A.", "b", "", None]) for _ in linkage.FIELDS]) for i in range(90)]
+    people = subjects(spark, rows)
+    made = linkage.pairs(people)
+    want = {tuple(r) for r in made.groupBy(linkage.pattern().alias("pattern"), linkage.label().alias("label")).count().collect()}
+    assert {tuple(r) for r in linkage.pattern_counts(people).collect()} == want
+    scored = made.select(linkage.floor4(linkage.fs_score()).alias("s"), F.when(linkage.label() == 1, "Yes").otherwise("No").alias("Match"))
+    assert tuple(linkage.fs_accuracy(people).first()) == pytest.approx(tuple(linkage.accuracy_at(scored, "s").first()))
+    assert linkage.labelled_pairs(people).count() == made.where(linkage.label() == 1).count()
+
+
+def test_linkage_run(spark, tmp_path):
+    people = views.subjects(spark, "/root/testdata/sf0.001").where("subject_ord < 40")
+    models = linkage_run.train(people, epochs=2, max_samples=200)
+    models.save(spark, str(tmp_path / "models"))
+    composite.register("same_city", lambda rows: rows.withColumn("same_city", (F.col("l.birth_city") == F.col("r.birth_city")).cast("int")))
+    out = linkage_run.run(people, linkage_run.Models.load(spark, str(tmp_path / "models")), ["same_city"])
+    graph_io.write_results(out.drop("same_city"), str(tmp_path / "results"))
+    back = graph_io.read_results(spark, str(tmp_path / "results"))
+    assert back.count() == 40 * 39 // 2 and [f.name for f in back.schema][0] == "Row"
+    fresh = linkage_run.run(people, models).orderBy("Row").collect()
+    for a, b in zip(back.orderBy("Row").collect(), fresh, strict=True):
+        assert a.Row == b.Row and a.Composite_Score == pytest.approx(b.Composite_Score) and a.Transformer_Similarity_Score == b.Transformer_Similarity_Score
+    table = {r.model: r for r in linkage_run.accuracies(back).collect()}
+    assert set(table) == set(linkage_run.SCORES) and table["Composite_Score"].accuracy > 0.9
+    assert out.where("same_city = 1").count() > 0
+    with pytest.raises(ValueError):
+        linkage_run.run(people, models, ["no such"])
+    with pytest.raises(ValueError):
+        linkage_run.Models.load(spark, str(tmp_path / "none"))
+    pairs = linkage.pairs(people)
+    p = {(r.subject_ord, r.other): r.gbt for r in models.trees.score(pairs).select("l.subject_ord", F.col("r.subject_ord").alias("other"), "gbt").collect()}
+    one, two = (r.asDict() for r in people.orderBy("subject_ord").limit(2).collect())
+    assert models.trees.score_pair(one, two) == p[0, 1] and models.trees.predict()[255] == 1
+
+
+def test_scores_without_sql_by_brute_force(spark):
+    """The registered scores of trained models against plain loops over the pairs."""
+    d = "/root/testdata/sf0.001"
+    people = [r.asDict() for r in views.subjects(spark, d).orderBy("subject_ord").collect()]
+    both = [(a, b) for i, a in enumerate(people) for b in people[i + 1 :]]
+    code = lambda a, b: sum(1 << i for i, f in enumerate(linkage.FIELDS) if a[f] == b[f])
+    counts = collections.Counter((code(a, b), int(a["base_id"] == b["base_id"])) for a, b in both)
+    x = np.array([[(p >> i) & 1 for i in range(8)] for (p, _), n in sorted(counts.items()) for _ in range(n)], float)
+    y = np.array([2.0 * t - 1 for (_, t), n in sorted(counts.items()) for _ in range(n)])
+    now = np.full(len(y), y.mean())
+
+    def grow(rows, level):
+        values = (y - now)[rows]
+        best, gain = None, -np.inf
+        if level < 3 and len(rows) >= 2 and values.min() < values.max():
+            for f in range(8):
+                left = x[rows, f] <= 0.5
+                if left.all() or not left.any():
+                    continue
+                g = values.var() - (left.sum() * values[left].var() + (~left).sum() * values[~left].var()) / len(rows)
+                if best is None or g > gain + 1e-9 * max(1.0, abs(gain)):
+                    best, gain = f, g
+        if best is None:
+            return [(rows, values.mean())]
+        left = x[rows, best] <= 0.5
+        return grow(rows[left], level + 1) + grow(rows[~left], level + 1)
+
+    for _ in range(40):
+        step = np.zeros(len(y))
+        for rows, value in grow(np.arange(len(y)), 0):
+            step[rows] = value
+        now = now + 0.1 * step
+    want = {(int(p @ (1 << np.arange(8))), int(t > 0)): v for p, t, v in zip(x, y, 1 / (1 + np.exp(-4 * now)))}
+    got = {(r.pattern, r.label): (r.n, r.gbt) for r in QUERIES["gbt_scores"](spark, d).collect()}
+    assert {k: n for k, (n, _) in got.items()} == dict(counts)
+    assert all(abs(got[k][1] - want[k]) < 2e-3 for k in got)
+
+    e = Encoder()
+    vectors = e.forward(byte_ids([" ".join(str(p[f]) for f in linkage.FIELDS) for p in people]))[0]
+    length = np.linalg.norm(vectors, axis=1)
+    alike = (vectors @ vectors.T / (np.outer(length, length) + 1e-8) + 1) / 2
+    place = {p["uuid"]: i for i, p in enumerate(people)}
+    scored = QUERIES["transformer_scores"](spark, d).collect()
+    assert len(scored) == len(both) and all(abs(alike[place[r.one], place[r.two]] - r.similarity) < 2e-6 for r in scored)
+
+    rows = QUERIES["composite_scores"](spark, d).collect()
+    z, t = np.array([(r.gbt, r.transformer, r.fs) for r in rows]), np.array([r.label for r in rows], float)
+    wide = np.hstack([z / z.std(0, ddof=1), np.ones((len(z), 1))])
+    w, ridge = np.zeros(4), np.diag([1e-4, 1e-4, 1e-4, 0]) * len(z)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-wide @ w))
+        w = w - np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + ridge, wide.T @ (p - t) + ridge @ w)
+    assert np.abs(1 / (1 + np.exp(-wide @ w)) - [r.composite for r in rows]).max() < 0.01
 
 
 def test_blocks_make_all_pairs(spark):
@@ -141,6 +251,40 @@ def test_trust_vectors():
     assert trust.influence(trust.VET, 30) == 0
 
 
+def test_accepts_weigh_by_trust():
+    for by, want in ((50, 54.0), (70, 58.0), (30, 50.0), (100, 64.0)):
+        fold = trust.Fold({"a": by, "b": 50})
+        fold.apply("a", "b", "accept")
+        assert fold.scores["b"] == pytest.approx(want)
+
+
+def test_resets_restart_guards_and_counts(spark):
+    rng, clock = random.Random(6), [0]
+    book = trust.Ledger(now=lambda: clock[0] / 1e6)
+    rows = []
+    for u in range(6):
+        book.add_user(u)
+    for seq in range(500):
+        clock[0] += rng.choice([1, 120_000_000, 900_000_000])
+        a, b = rng.sample(range(6), 2)
+        action = rng.choice(["report", "report", "accept", "accept", "vet", "deny", "reset"] if seq % 7 == 0 else ["report", "accept", "vet", "deny"])
+        rows.append((seq, clock[0], a, a if action == "reset" else b, action))
+        book.reset_user(a) if action == "reset" else getattr(book, action)(a, b)
+    frame = spark.createDataFrame(rows, "seq long, ts long, actor long, target long, action string")
+    users = spark.range(6).select(F.col("id").alias("username"))
+    log = trust.fold(trust.ledger(frame))
+    assert {r.username: r.trust_score for r in trust.user_scores(log, users).collect()} == pytest.approx(book.users)
+    assert {r.actor for r in trust.spam_flags(frame).collect()} == set(book.spammers)
+    got = [(r.username, r.action, r.target, r.weight) for r in trust.newest_first(trust.interaction_log(log)).collect()]
+    want = [(u, x[0], str(x[1]), x[3]) for u in range(6) for x in book.log[u]]
+    assert sorted(g[:3] for g in got) == sorted(w[:3] for w in want)
+    assert sum(g[3] for g in got) == pytest.approx(sum(w[3] for w in want))
+    book.delete_user(0)
+    with pytest.raises(ValueError):
+        book.accept(1, 0)
+    book.reset_user("nobody")
+
+
 def test_prompt_ledger_and_batch_agree(spark):
     rng, clock = random.Random(5), [0]
     book = trust.Ledger(now=lambda: clock[0] / 1e6)
@@ -189,6 +333,12 @@ def test_generator(spark):
     assert found == generator.people(spark, 400, 0.3, seed=1).collect()
     made = generator.connections(rows, 100, seed=1).collect()
     assert 50 < len(made) <= 100 and all(r.source != r.target for r in made)
+    kin = [r for r in made if r.type == "family"]
+    assert kin and all(r.detail.startswith("family_") for r in kin)
+    last = {r.node_id: r.last_name for r in found}
+    assert all(last[r.source] == last[r.target] for r in kin if r.relationship != "spouse")
+    weighed = generator.cluster_connections(rows, F.col("birth_city"), 50, "x", F.lit("y"), 1, F.when(F.col("c") == "Dunmore", 1.0).otherwise(0.0), town=F.col("c"), size=F.col("n"))
+    assert {json.loads(r.detail)["town"] for r in weighed.collect()} == {"Dunmore"}
     assert generator.sequences(spark, 10, 5, 1).groupBy("sequence_id").count().where("count <> 5").isEmpty()
     with pytest.raises(ValueError):
         generator.people(spark, 5, 1.5)
@@ -198,3 +348,11 @@ def test_colors(spark):
     got = spark.createDataFrame([(0, 4), (2, 4), (4, 4), (0, 0)], "v int, m int").select(viz.node_color(F.col("v"), F.col("m")).alias("c"))
     assert [r.c for r in got.collect()] == ["#522de5", "#2de540", "#e52d2d", "#888888"]
     assert "<canvas" in viz.html(graph(spark, 3, [(0, 1, True)]))
+    assert (viz.physics(50)["gravitationalConstant"], viz.physics(200)["springLength"], viz.physics(201)["springConstant"]) == (-2000, 200, 0.01)
+    assert viz.physics(10)["iterations"] == 100 and viz.physics(120)["iterations"] == 240 and viz.physics(900)["iterations"] == 300
+    g = graph(spark, 2, [(0, 1, False)])
+    told = Graph(g.nodes.withColumn("metadata", F.lit('{"first_name": "Ann", "age": 3}')), g.edges.withColumn("metadata", F.lit('{"weight": 2.5}')))
+    assert {r.title for r in viz.viz_nodes(told).where("node_id = '0'").collect()} == {"0\nconnections: 1\n--- metadata ---\nfirst_name: Ann\nage: 3"}
+    assert viz.edge_style(told).first().title == "undirected edge\nfrom: 0\nto: 1\nweight: 2.50"
+    with pytest.raises(ValueError):
+        viz.html(Graph(g.nodes.limit(0), g.edges))
