@@ -9,9 +9,13 @@ a source is known (a mixture of exponentials over its histogram of weights), and
 shares gives buckets of about ``BUCKET_ROWS`` documents. Sums per bucket give each bucket's offset; only
 the rows of one bucket are sorted together.
 
+The document at the edge of a budget is the one whose size comes nearest to what is left, not the next of the order: a
+target is then met to within half the smallest spare document instead of half the next one, which may be very long.
+
 Defined cases: null and empty texts have size 0 and are taken 0 words; a null source is one source, last in
-order; rows that repeat are documents of their own; an empty table gives an empty result; a source whose
-texts are all empty has target 0.
+order; rows that repeat are documents of their own, and equal keys are ordered by doc_id and size; a very long text
+counts whole and is taken whole or not at all; columns of the input that clash with helpers are kept; an empty table
+gives an empty result; a source whose texts are all empty has target 0.
 """
 
 from __future__ import annotations
@@ -40,27 +44,47 @@ def quality_level(text: Column, size: Column) -> Column:
     return F.greatest(F.lit(1), share).cast("int")
 
 
+def _in_order(rows: DataFrame, order: list, name: str, parts: int = 64) -> DataFrame:
+    """``rows``, written, dealt out by range of ``order`` with the number of their range in ``part``, so that no window holds them all."""
+    return materialize(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), name)
+
+
+def _running(rows: DataFrame, order: list, sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows`` with running sums in ``order``, the row itself left out, and in ``<name>_all`` the sums over all rows."""
+    rows = _in_order(rows, order, name)
+    held = rows.groupBy("part").agg(*[F.sum(c).alias(f"{k}_held") for k, c in sums.items()])
+    ahead = Window.orderBy("part")  # one row a range
+    firsts = held.select(
+        "part",
+        *[F.coalesce(F.sum(f"{k}_held").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{k}_first") for k in sums],
+        *[F.sum(f"{k}_held").over(Window.partitionBy()).alias(f"{k}_all") for k in sums],
+    )
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(F.broadcast(firsts), "part")  # at most ``parts`` rows
+    before = {k: F.col(f"{k}_first") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()}
+    return out.withColumns(before).drop("part", *[f"{k}_first" for k in sums])
+
+
 def source_targets(sizes: DataFrame, pattern=PATTERN, share=SHARE, epochs=EPOCHS) -> DataFrame:
     """(source, g, source_size, n, target) for rows (source, size): one row a source.
 
     Targets share ``share`` of all sizes by weight and stop at ``epochs`` times their source; the excess goes
     to the others by weight until none is above. The level at which that ends is found by one ordered pass
     over the sources instead of rounds: with the sources in order of cap over weight, it is the first one
-    that stays under its cap when all before it are capped.
+    that stays under its cap when all before it are capped. Both orders run over ranges of sources, as there may
+    be as many as web domains.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    per = per.withColumn("g", place)
+    per = _running(per, [F.col("source").asc_nulls_last()], {"g": F.lit(1)}, "mix-sources").withColumn("g", F.col("g") + 1).drop("g_all")
     weights = F.array(*[F.lit(float(w)) for w in pattern])
     per = per.withColumn("w", F.element_at(weights, ((F.col("g") - 1) % len(pattern) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(epochs)))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "g")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    everywhere = Window.partitionBy()
-    per = per.withColumn("level", (F.sum("source_size").over(everywhere) * F.lit(float(share)) - before) / rest)
-    fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), "g", "level"))
-    per = per.withColumn("level", F.min(fits).over(everywhere)["level"])
+    per = per.withColumn("cap", F.col("source_size") * F.lit(float(epochs))).withColumn("turn", F.col("cap") / F.col("w"))
+    sums = {"before": F.col("cap"), "light": F.col("w"), "size": F.col("source_size")}
+    per = materialize(_running(per, [F.col("turn"), F.col("g")], sums, "mix-turns"), "mix-levels")
+    rest = F.col("light_all") - F.col("light")
+    per = per.withColumn("level", (F.col("size_all") * F.lit(float(share)) - F.col("before")) / rest)
+    fits = per.where(F.col("level") * F.col("w") <= F.col("cap")).agg(F.min(F.struct("turn", "g", "level")).alias("first"))
+    per = per.drop("level").join(F.broadcast(fits.select(F.col("first.level").alias("level"))))  # one row
     target = F.coalesce(F.least(F.col("level") * F.col("w"), "cap"), F.col("cap"))
     return per.select("source", "g", "source_size", "n", target.alias("target"))
 
@@ -79,8 +103,8 @@ def mix(rows: DataFrame, seed: int = 0, bucket_rows: int = BUCKET_ROWS, **target
     per = materialize(source_targets(rows, **targets), "mix-targets")
     levels = rows.groupBy("source", "level").agg(F.count("*").alias("k"))
     shares = levels.groupBy("source").agg(F.collect_list(F.struct((F.col("level") / 100.0).alias("w"), "k")).alias("shares"))
-    per = per.join(shares.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
-    per = per.withColumnRenamed("source", "source_")
+    per = per.join(shares.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_"))).drop("source")
+    per = materialize(per, "mix-shares")  # written, so that the join with it can split a source
     keyed = rows.join(per, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
     keyed = keyed.withColumn("key", -F.log(u) / (F.col("level") / 100.0))
     below = F.aggregate("shares", F.lit(0.0), lambda s, x: s + x["k"] * (1 - F.exp(-x["w"] * F.col("key")))) / F.col("n")
