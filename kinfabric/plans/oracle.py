@@ -318,13 +318,14 @@ SESSIONS = """SELECT user_id, count(*) AS n, round(sum(value), 6) AS value FROM
 # The generator: every value is a function of the seed and a key
 
 _SEED = 7
-_FIRST = ("Ada Ben Cleo Dan Eva Finn Gwen Hugo Iris Jack Kate Liam Mona Noah Olga Paul Rosa Sam Tess Victor").split()
+_FIRST = ("Ada Ben Cleo Dan Eva Finn Gwen Hugo Iris Jack Kate Liam Mona Noah Olga Paul Rosa Sam Tess Victor "
+    "William Robert Richard Michael Christopher Matthew Anthony Elizabeth Katherine Jennifer Rebecca Jessica").split()
 _STEMS = ("Abbott Barnes Carver Dalton Easton Fisher Garner Harlow Irving Jensen Keller Lowell Mercer Norton Osborn Porter Quincy Ramsey Sutton Turner").split()
 _SYLLABLES = ("ba be bi da de do ga la le li ma me mo na ne ra re ri ta to").split()
 _ENDINGS = "son ley man ford".split()
 _DOMAINS = "gmail.com yahoo.com hotmail.com outlook.com proton.me example.com example.org example.net".split()
 _CITIES = "Ashford Brookfield Clearwater Dunmore Eastport Fairview Greenville Hillsboro".split()
-_AREAS = "201 303 415 512 617 702 808 919".split()
+_AREAS = "555 800 888 877 866 855 844 833 822 900 901 902 903 904 905 906 907 908 909".split()
 
 
 def _h(name: str, key: str, seed: int = _SEED) -> str:
@@ -360,12 +361,12 @@ def _originals(rows: str) -> str:
 def _typo(c: str, key: str) -> str:
     n, kind = f"length({c})", _pick("adjacent_key double_letter missing_letter vowel_swap transpose common_misspelling".split(), "typo", key)
     at, twice, swap = (f"({_h(name, key)} % greatest({n} - {less}, 1) + {first})" for name, less, first in (("at", 2, 2), ("double", 1, 2), ("swap", 1, 1)))
-    vowel = f"list_filter(range(1, {n} + 1), lambda i: lower(substr({c}, i, 1)) IN ('a', 'e', 'i', 'o', 'u') AND {_u('vowel', f'{key}, i')} < 0.3)[1]"
+    vowel = f"list_filter(range(1, {n} + 1), lambda i: lower(substr({c}, i, 1)) IN ('a', 'e', 'i', 'o', 'u', 'y') AND {_u('vowel', f'{key}, i')} < 0.3)[1]"
     return f"""CASE WHEN {n} < 3 THEN {c} ELSE coalesce(CASE {kind}
-    WHEN 'adjacent_key' THEN CASE WHEN contains('aseriotnml', lower(substr({c}, {at}, 1))) THEN substr({c}, 1, {at} - 1) || translate(lower(substr({c}, {at}, 1)), 'aseriotnml', 'sdrtopymnk') || substr({c}, {at} + 1) ELSE {c} END
+    WHEN 'adjacent_key' THEN CASE WHEN contains('abcdefghijklmnopqrstuvwxyz', lower(substr({c}, {at}, 1))) THEN substr({c}, 1, {at} - 1) || translate(lower(substr({c}, {at}, 1)), 'abcdefghijklmnopqrstuvwxyz', 'svxswdfguhjknbiowearycqztx') || substr({c}, {at} + 1) ELSE {c} END
     WHEN 'double_letter' THEN substr({c}, 1, {twice}) || substr({c}, {twice})
     WHEN 'missing_letter' THEN CASE WHEN {n} > 3 THEN substr({c}, 1, {at} - 1) || substr({c}, {at} + 1) END
-    WHEN 'vowel_swap' THEN substr({c}, 1, {vowel} - 1) || translate(lower(substr({c}, {vowel}, 1)), 'aeiou', 'eieuo') || substr({c}, {vowel} + 1)
+    WHEN 'vowel_swap' THEN substr({c}, 1, {vowel} - 1) || translate(lower(substr({c}, {vowel}, 1)), 'aeiouy', 'eayuoi') || substr({c}, {vowel} + 1)
     WHEN 'transpose' THEN CASE WHEN {n} > 3 THEN substr({c}, 1, {swap} - 1) || reverse(substr({c}, {swap}, 2)) || substr({c}, {swap} + 2) END
     WHEN 'common_misspelling' THEN CASE WHEN contains(lower({c}), 'ph') THEN replace({c}, 'ph', 'f') WHEN contains(lower({c}), 'ck') THEN replace({c}, 'ck', 'k')
       WHEN suffix(lower({c}), 'ie') THEN substr({c}, 1, {n} - 2) || 'y' END END, {c}) END"""
@@ -385,8 +386,9 @@ def _varied(rows: str, key: str) -> str:
       WHEN {_u('drop', key)} < 0.3 THEN NULL ELSE {_phone(key, _SEED + 1)} END AS phone_number,
     CASE WHEN {_u('town?', key)} >= 0.2 THEN birth_city WHEN {_u('citykind', key)} < 0.5 THEN NULL ELSE {_pick(_CITIES, 'city2', key)} END AS birth_city)
   FROM (SELECT *, CASE WHEN kind = 'typo_first' THEN {_typo('first_name', key)}
-        WHEN kind = 'nickname' THEN CASE first_name WHEN 'Ben' THEN 'Benny' WHEN 'Dan' THEN 'Danny' WHEN 'Kate' THEN 'Katie' WHEN 'Liam' THEN 'Lee' WHEN 'Paul' THEN 'Paulie'
-          WHEN 'Sam' THEN 'Sammy' WHEN 'Tess' THEN 'Tessie' WHEN 'Victor' THEN 'Vic' ELSE first_name END ELSE first_name END AS new_first,
+        WHEN kind = 'nickname' THEN CASE first_name WHEN 'William' THEN 'Bill' WHEN 'Robert' THEN 'Bob' WHEN 'Richard' THEN 'Dick' WHEN 'Michael' THEN 'Mike'
+          WHEN 'Christopher' THEN 'Chris' WHEN 'Matthew' THEN 'Matt' WHEN 'Anthony' THEN 'Tony' WHEN 'Elizabeth' THEN 'Liz' WHEN 'Katherine' THEN 'Kate'
+          WHEN 'Jennifer' THEN 'Jen' WHEN 'Rebecca' THEN 'Becky' WHEN 'Jessica' THEN 'Jess' ELSE first_name END ELSE first_name END AS new_first,
       CASE WHEN kind = 'typo_last' THEN {_typo('last_name', key)} ELSE last_name END AS new_last
     FROM (SELECT *, CASE WHEN {_u('name?', key)} < 0.85 THEN {_pick(kinds, 'name', key)} ELSE 'none' END AS kind FROM {rows})))"""
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinfabric.functions import text
 from kinfabric.operators import composite, gbt, generator, linkage, linkage_run, sybil, trust, viz
 from kinfabric.operators.graph import Graph
 from kinfabric.operators.transformer import Encoder, byte_ids
@@ -344,6 +345,12 @@ def test_generator(spark):
         generator.people(spark, 5, 1.5)
 
 
+def test_name_parts(spark):
+    rows = spark.createDataFrame([("Dr. Ada B. Lee, PhD",), ("Mr. Finn",), ("  Gwen   van Harlow III ",), (None,)], "name string")
+    first, last = text.first_and_last(F.col("name"))
+    assert [tuple(r) for r in rows.select(first, last).collect()] == [("Ada", "Lee,"), (None, None), ("Gwen", "Harlow"), (None, None)]
+
+
 def test_colors(spark):
     got = spark.createDataFrame([(0, 4), (2, 4), (4, 4), (0, 0)], "v int, m int").select(viz.node_color(F.col("v"), F.col("m")).alias("c"))
     assert [r.c for r in got.collect()] == ["#522de5", "#2de540", "#e52d2d", "#888888"]
