@@ -1,4 +1,11 @@
-"""A corpus pipeline: each stage's rows are written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: each stage's rows are written as Parquet and read again as the next one's documents.
+
+Defined cases are those of the operators: null and empty texts pass the classifier by their features, are one exact
+group, have no near copies, stay once in the mix, and are packed with length 0; rows with a null doc_id are judged by
+their text, kept by the near stage, and packed; rows that repeat doc_id and text end as one; texts of any length are
+whole rows; columns beyond doc_id, text, lang and source are carried along whatever their names; an empty table
+gives empty stages.
+"""
 
 from __future__ import annotations
 
