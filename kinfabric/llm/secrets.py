@@ -10,7 +10,8 @@ whether a part of that role reaches into the scope, so no pairs are formed.
 Positions come from splitting the text at the matches: the lengths of the pieces and the matches add up.
 
 Defined cases: null and empty texts have no spans; rows that share a doc_id are scanned each on their own;
-ties in start are ordered by kind as listed in KINDS.
+ties in start are ordered by kind as listed in KINDS; a text of any length is scanned whole, only its parts leave the row;
+only doc_id and text are read, so other columns don't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
