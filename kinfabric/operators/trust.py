@@ -36,6 +36,13 @@ def influence(base: float, by: float) -> float:
     return max(0.0, base * (1 + (by - INITIAL) * MULTIPLIER))
 
 
+def split_unknown(rows: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose actor and target are both in ``users`` (username), and the others: a prompt ledger raises on them, a batch puts them aside."""
+    known = users.select(F.col("username").alias("_u")).distinct()
+    both = rows.join(known, F.col("actor") == F.col("_u"), "left_semi").join(known, F.col("target") == F.col("_u"), "left_semi")
+    return both, rows.join(both.select(F.col("seq").alias("_s")), F.col("seq") == F.col("_s"), "left_anti")
+
+
 def with_epochs(rows: DataFrame) -> DataFrame:
     """``rows`` with ``epoch``: how often the actor was reset before (action ``reset``, on its own row)."""
     before = Window.partitionBy("actor").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -280,6 +280,9 @@ def test_resets_restart_guards_and_counts(spark):
     want = [(u, x[0], str(x[1]), x[3]) for u in range(6) for x in book.log[u]]
     assert sorted(g[:3] for g in got) == sorted(w[:3] for w in want)
     assert sum(g[3] for g in got) == pytest.approx(sum(w[3] for w in want))
+    ok, unknown = trust.split_unknown(frame, users.where("username < 4"))
+    assert all(max(r.actor, r.target) < 4 for r in ok.collect()) and all(max(r.actor, r.target) >= 4 for r in unknown.collect())
+    assert ok.count() + unknown.count() == 500
     book.delete_user(0)
     with pytest.raises(ValueError):
         book.accept(1, 0)
