@@ -104,6 +104,33 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
+class _Descent:
+    """Newton steps on a convex loss; a step that doesn't lower it enough is cut to a quarter, as labels that features part cleanly lead to steps far too long."""
+
+    def __init__(self, start: np.ndarray):
+        self.weights = self.trial = start
+        self.loss, self.share, self.done = None, 1.0, False
+
+    def told(self, loss: float, slope: np.ndarray, bend: np.ndarray) -> None:
+        """The loss at ``trial`` with its gradient and Hessian."""
+        if self.loss is None or loss <= self.loss - 1e-4 * self.share * self.gain + 1e-10 * abs(self.loss):
+            self.weights, self.loss, self.share = self.trial, loss, 1.0
+            self.step = np.linalg.solve(bend, slope)
+            self.gain = float(slope @ self.step)
+            if self.gain < 2e-8:  # twice what is left to be lowered
+                self.weights, self.done = self.weights - self.step, True
+        else:
+            self.share /= 4
+            self.done = self.share < 1e-8
+        self.trial = self.weights - self.share * self.step
+
+
+def _ridge(n: int, penalty: float) -> np.ndarray:
+    ridge = np.eye(n) * penalty
+    ridge[-1, -1] = 1e-6
+    return ridge
+
+
 @dataclass
 class Logistic:
     """L2-regularised logistic regression on standardised features, by Newton steps."""
@@ -116,18 +143,14 @@ class Logistic:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> Logistic:
-        mean, scale = x.mean(0), x.std(0) + 1e-6
-        z = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
-        ridge = np.eye(len(w)) * penalty
-        ridge[-1, -1] = 1e-6
-        for _ in range(25):
-            p = _sigmoid(z @ w)
-            step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
-            w = w - step
-            if np.abs(step).max() < 1e-6:
-                break
-        return cls(mean, scale, w)
+        model = cls(x.mean(0), x.std(0) + 1e-6, np.zeros(x.shape[1] + 1))
+        ridge, down = _ridge(x.shape[1] + 1, penalty), _Descent(model.weights)
+        while not down.done:
+            model.weights = w = down.trial
+            loss, slope, bend = _slopes(model, x, y)
+            down.told(float(loss[0]) + w @ ridge @ w / 2, slope + ridge @ w, bend + ridge)
+        model.weights = down.weights
+        return model
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
@@ -185,10 +208,11 @@ def _moments(x: np.ndarray) -> list[np.ndarray]:
 
 
 def _slopes(model: Logistic, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Gradient and Hessian of the log loss."""
+    """The log loss, its gradient and Hessian."""
     z = np.hstack([np.clip((x - model.mean) / model.scale, -8, 8), np.ones((len(x), 1))])
-    p = _sigmoid(z @ model.weights)
-    return [z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z]
+    raw = z @ model.weights
+    p = _sigmoid(raw)
+    return [np.array([float((np.logaddexp(0, raw) - y * raw).sum())]), z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z]
 
 
 def _fit_all(pool: DataFrame, past: list[list[Logistic]], sets: list[tuple[np.ndarray, np.ndarray]], penalty: float = 1.0) -> list[Logistic]:
@@ -207,24 +231,23 @@ def _fit_all(pool: DataFrame, past: list[list[Logistic]], sets: list[tuple[np.nd
         old = past[-1][view]
         start = old.weights[:-1] / old.scale
         models.append(Logistic(mean, scale, np.append(start * scale, old.weights[-1] + start @ (mean - old.mean))))
-    for _ in range(25):
+    ways = [_Descent(m.weights) for m in models]
+    while not all(w.done for w in ways):
+        for m, way in zip(models, ways, strict=True):
+            m.weights = way.trial
 
         def slopes(views, models=models):
             return [s for m, x, y in zip(models, views, _taught(past, views), strict=True) for s in _slopes(m, x[~np.isnan(y)], y[~np.isnan(y)])]
 
-        sums, most = _summed(pool, slopes, [n for w in widths for n in (w + 1, (w + 1) ** 2)]), 0.0
-        moved = []
-        for view, (m, (x, y)) in enumerate(zip(models, sets, strict=True)):
-            slope, bend = _slopes(m, x, y)
-            ridge = np.eye(len(slope)) * penalty
-            ridge[-1, -1] = 1e-6
-            slope = slope + sums[2 * view] + ridge @ m.weights
-            step = np.linalg.solve(bend + sums[2 * view + 1].reshape(bend.shape) + ridge, slope)
-            moved.append(Logistic(m.mean, m.scale, m.weights - step))
-            most = max(most, np.abs(step).max())
-        models = moved
-        if most < 1e-6:
-            break
+        sums = _summed(pool, slopes, [n for w in widths for n in (1, w + 1, (w + 1) ** 2)])
+        for view, (m, way, (x, y)) in enumerate(zip(models, ways, sets, strict=True)):
+            if way.done:
+                continue
+            loss, slope, bend = (a + b.reshape(a.shape) for a, b in zip(_slopes(m, x, y), sums[3 * view : 3 * view + 3], strict=True))
+            w, ridge = way.trial, _ridge(len(slope), penalty)
+            way.told(float(loss[0]) + w @ ridge @ w / 2, slope + ridge @ w, bend + ridge)
+    for m, way in zip(models, ways, strict=True):
+        m.weights = way.weights
     return models
 
 
