@@ -40,10 +40,19 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Graph:
-    """An immutable graph; ``nodes`` have node_id and node_ord, ``edges`` source, target and directed."""
+    """An immutable graph; ``nodes`` have node_id and node_ord, ``edges`` source, target and directed.
+
+    ``links`` are the neighbours of any direction, if they have been written (:meth:`stored`).
+    """
 
     nodes: DataFrame
     edges: DataFrame
+    links: DataFrame | None = None
+
+    def stored(self) -> Graph:
+        """The same graph with its edges and neighbours written once, for operators that read them often."""
+        kept = Graph(self.nodes, written(self.edges, "edges"))
+        return Graph(kept.nodes, kept.edges, written(kept.neighbors(), "links"))
 
     @classmethod
     def from_json(cls, spark: SparkSession, path: str) -> Graph:
@@ -91,6 +100,8 @@ class Graph:
 
     def neighbors(self, direction: str = "all") -> DataFrame:
         """(node_id, nbr); an unknown direction has no rows."""
+        if direction == "all" and self.links is not None:
+            return self.links
         rows = adjacency(self.edges)
         if direction != "all":
             rows = rows.where(F.col("direction") == direction)
@@ -154,7 +165,7 @@ class Graph:
 
     def components(self, rounds: int = 100) -> DataFrame:
         """(node_id, component): the smallest node_id reachable over edges of any direction."""
-        links = written(self.neighbors(), "links")
+        links = self.links if self.links is not None else written(self.neighbors(), "links")
         labels = written(self.nodes.select("node_id", F.col("node_id").alias("component")), "labels")
         for _ in range(rounds):
             low = links.join(labels.toDF("nbr", "c"), "nbr").groupBy("node_id").agg(F.min("c").alias("c"))

@@ -241,6 +241,7 @@ class Detection:
 
 
 def detect_guard(graph: Graph, k: int = 10, method: str = "degree", per_seed: int = 100, length: int = 20, threshold: float | None = None, **seeds) -> Detection:
+    graph = graph.stored()
     chosen = written(select_seeds(graph, k, method, **seeds), "seeds")
     rows = written(walks(graph, chosen, per_seed, length), "walks")
     scores = guard_scores(graph, rows)
@@ -248,6 +249,7 @@ def detect_guard(graph: Graph, k: int = 10, method: str = "degree", per_seed: in
 
 
 def detect_limit(graph: Graph, k: int = 10, method: str = "degree", per_seed: int = 100, length: int = 25, threshold: float | None = None, **seeds) -> Detection:
+    graph = graph.stored()
     chosen = written(select_seeds(graph, k, method, **seeds), "seeds")
     rows = written(walks(graph, chosen, per_seed, length), "walks")
     scores = acceptance(graph, rows)
@@ -255,6 +257,7 @@ def detect_limit(graph: Graph, k: int = 10, method: str = "degree", per_seed: in
 
 
 def detect_rank(graph: Graph, k: int = 10, method: str = "degree", threshold: float | None = None, damping: float = 0.85, **seeds) -> Detection:
+    graph = graph.stored()
     chosen = written(select_seeds(graph, k, method, **seeds), "seeds")
     ranks = propagate(graph, chosen, damping)
     return Detection(chosen, rank_scores(ranks), rank_sybils(ranks, threshold), {"ranks": ranks, "nodes": graph.nodes, "honest": rank_honest(ranks, threshold), "stats": trust_stats(ranks)})

@@ -239,9 +239,7 @@ def seeds_betweenness(spark, d):
 
 
 def _stored(spark, d) -> Graph:
-    """The graph with its edges written once, for queries that read them often."""
-    g = graph(spark, d)
-    return Graph(g.nodes, written(g.edges, "edges"))
+    return graph(spark, d).stored()
 
 
 def _walks(spark, d, length):
