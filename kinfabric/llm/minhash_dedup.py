@@ -18,9 +18,10 @@ threshold (a pair on the threshold is lost with probability 1e-6). As all pairs
 would join two components is lost.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are their own component;
-texts with fewer words than a shingle are one shingle, their whole sequence; documents with equal sets
-are linked; rows that share a doc_id are one document, linked if one of its rows is, each row reported;
-rows with a null doc_id link with nothing and are kept with a null component.
+texts with fewer words than a shingle are one shingle, their whole sequence; a text of any length is one row, its
+whole set is compared; documents with equal sets are linked; rows that share a doc_id are one document, linked if one
+of its rows is, each row reported; rows with a null doc_id link with nothing and are kept with a null component; only
+doc_id and text are read, so other columns don't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfabric.llm.components import connected_components
+from kinfabric.llm.components import roots
 from kinfabric.llm.hashing import U64, gram_hashes, mix, word_hashes
 from kinfabric.llm.shared import discard, documents, materialize
 
@@ -265,9 +266,8 @@ def _apart_pairs(apart: DataFrame, wide: DataFrame, reach: int, fine: int, neare
             yield from emit(held)
 
     def emit(held):
-        found = list(tile(pa.concat_tables(held)))
-        for at in range(0, len(found), 65536):
-            part = found[at : at + 65536]
+        pairs = tile(pa.concat_tables(held))
+        while part := list(itertools.islice(pairs, 65536)):
             columns = [pa.array([x[i] for x in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "distance"])
 
@@ -298,8 +298,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     members = materialize(keys.join(shared.select("key"), "key"), "near-buckets")
     full = materialize(_full_sets(members.select("id").distinct(), docs, n), "near-sets")
-    links = materialize(_same_id(marks, sets), "near-links")
-    labels = materialize(connected_components(links), "near-labels")
+    labels = roots(_same_id(marks, sets))
     for step in range(ROUNDS + 2):
         # what still lies apart in a bucket
         placed = members.join(labels, "id", "left").select("key", "k", "id", F.coalesce("component", "id").alias("c"))
@@ -322,10 +321,10 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
             near = near.groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
         else:
             near = materialize(near.select("a", "b"), "near-rest").distinct()
-        fresh, before = _confirm(near, full, percent), (links, labels)
-        links = materialize(links.union(fresh), "near-links")
-        labels = materialize(connected_components(links), "near-labels")
-        discard(fresh, *before)
+        # the stars found so far stand for all links before
+        before, fresh = labels, _confirm(near, full, percent)
+        labels = roots(fresh.union(before.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        discard(before, fresh)
 
     classes = sets.join(labels, "id", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "id").alias("c"))
     out = marks.join(classes, ["s1", "s2", "n_shingles"], "left")
