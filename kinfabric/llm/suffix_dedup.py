@@ -39,7 +39,7 @@ from kinfabric.llm.suffix_array import repeated_starts
 
 LENGTH, MARK = 200, 48
 #: Stretches of one group in a suffix array at most, and bytes after which no more groups join an array.
-ARRAY_ROWS, ARRAY_BYTES = 1000, 1 << 18
+ARRAY_ROWS, ARRAY_BYTES = 500, 1 << 17
 #: Strings of a piece, level by level, where a group is too large for one array.
 SPREADS = (32, 8, 2, 1)
 #: The lower bits hold a place in a chunk.
@@ -100,8 +100,13 @@ def stretches(docs: DataFrame) -> DataFrame:
     )
 
 
+def _mark(part: bytes) -> int:
+    return int(np.argmin(byte_windows(np.frombuffer(part[:LENGTH], np.uint8), MARK) & _UPPER))
+
+
 def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(grp, seg, kinds, mark, bytes) for (rk, start, count, mini, seg, kinds); mark is the minimizer's place in the bytes."""
+    """(grp, seg, kinds, mark, bytes) for (rk, start, count, mini, seg, kinds); mark is the minimizer's place in the bytes of a large group, else null."""
+    most = ARRAY_ROWS
     lists = wanted.groupBy("rk").agg(F.collect_list(F.struct("start", "count", "mini", "seg", "kinds")).alias("wanted"))
 
     def run(batches):
@@ -110,7 +115,7 @@ def _bytes_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 rows = asked.as_py()
                 parts = [data[r["start"] : r["start"] + r["count"] + LENGTH - 1] for r in rows]
-                places = [int(np.argmin(byte_windows(np.frombuffer(part[:LENGTH], np.uint8), MARK) & _UPPER)) for part in parts]
+                places = [_mark(part) if r["kinds"] > most else None for r, part in zip(rows, parts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r["mini"] for r in rows], pa.int64()),
