@@ -32,7 +32,7 @@ def walks(graph: Graph, seeds: DataFrame, per_seed: int, length: int, seed: int
     neighbour has one itself, so only walks from an isolated seed stop. The neighbours stay where they are and
     meet the walks by (node, place): walks are broadcast up to ``MOST_BROADCAST`` of them, beyond they are joined.
     """
-    steps = numbered_neighbors(graph)
+    steps = numbered_neighbors(graph).persist()  # read in each step; a lost part comes from the written table again
     known = written(seeds.join(graph.nodes.select("node_id"), "node_id", "left_semi").distinct(), "walk-seeds")
     small = known.count() * per_seed <= MOST_BROADCAST
     fan = steps.groupBy(F.col("node_id").alias("seed")).agg(F.count("*").alias("fan"))
@@ -46,7 +46,9 @@ def walks(graph: Graph, seeds: DataFrame, per_seed: int, length: int, seed: int
         rows = rows.select("seed", "walk_id", F.concat("path", F.array("nbr")).alias("path"), F.col("nbr").alias("at"), "fan")
         if step % STEPS_PER_TABLE == 0:
             rows = written(rows, "walks")
-    return rows.union(alone).select("seed", "walk_id", F.posexplode("path").alias("step", "node"))
+    rows = written(rows.union(alone), "walks")
+    steps.unpersist()
+    return rows.select("seed", "walk_id", F.posexplode("path").alias("step", "node"))
 
 
 def select_seeds(graph: Graph, k: int, method: str = "degree", manual: list[str] | None = None, seed: int = 7) -> DataFrame:
