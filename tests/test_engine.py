@@ -207,6 +207,13 @@ def test_scores_without_sql_by_brute_force(spark):
     assert np.abs(1 / (1 + np.exp(-wide @ w)) - [r.composite for r in rows]).max() < 0.01
 
 
+def test_shares_of_connections_are_exact():
+    for n in (0, 1, 1500, 90_000, 123_457):
+        share = generator.shares(n)
+        assert sum(share.values()) == n
+        assert [share[k] for k in ("family", "geographic", "age_cohort", "workplace")] == [n * p // 100 for p in (25, 35, 20, 15)]
+
+
 def test_blocks_make_all_pairs(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"b{i % 7}", *["v"] * 8) for i in range(50)], "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
     got = linkage.pairs(rows, block_rows=9).select(linkage.pair_index(F.lit(50), F.col("l.subject_ord"), F.col("r.subject_ord")).alias("i")).collect()
