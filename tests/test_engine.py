@@ -214,6 +214,28 @@ def test_shares_of_connections_are_exact():
         assert [share[k] for k in ("family", "geographic", "age_cohort", "workplace")] == [n * p // 100 for p in (25, 35, 20, 15)]
 
 
+def test_composite_is_plain_columns(spark, tmp_path):
+    """No function object of Spark ML is shipped to the executors, and the fit is the minimum of the ridge loss."""
+    rng = np.random.default_rng(1)
+    x = np.round(rng.random((300, 3)), 2)
+    x[:, 0] = 0.5  # a score that says nothing
+    t = (x[:, 1] + x[:, 2] + rng.normal(0, 0.3, 300) > 1).astype(int)
+    rows = spark.createDataFrame([(*map(float, r), int(y)) for r, y in zip(x, t)], "gbt double, transformer double, fs double, label int")
+    model = composite.fit(rows)
+    z = (x[:, 1:] - x[:, 1:].mean(0)) / x[:, 1:].std(0, ddof=1)
+    wide, w, ridge = np.hstack([z, np.ones((300, 1))]), np.zeros(3), np.diag([1e-4, 1e-4, 0]) * 300
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-wide @ w))
+        w = w - np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + ridge, wide.T @ (p - t) + ridge @ w)
+    scored = composite.score(model, rows)
+    assert "UDF" not in scored._jdf.queryExecution().toString()
+    assert np.abs(np.array([r.composite for r in scored.collect()]) - 1 / (1 + np.exp(-wide @ w))).max() < 1e-6
+    composite.save(spark, model, str(tmp_path / "model"))
+    assert composite.load(spark, str(tmp_path / "model")) == model
+    one = composite.score(composite.fit(rows.where("label = 1")), rows)
+    assert {r.composite for r in one.collect()} == {1.0}
+
+
 def test_blocks_make_all_pairs(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"b{i % 7}", *["v"] * 8) for i in range(50)], "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
     got = linkage.pairs(rows, block_rows=9).select(linkage.pair_index(F.lit(50), F.col("l.subject_ord"), F.col("r.subject_ord")).alias("i")).collect()
