@@ -236,6 +236,24 @@ def test_composite_is_plain_columns(spark, tmp_path):
     assert {r.composite for r in one.collect()} == {1.0}
 
 
+def test_rows_of_more_pairs_than_ints(spark):
+    """The last pair of 90,000 subjects has the place 4,049,955,000; with fewer pairs, Row stays an int."""
+    end = ", ".join(f"CAST(NULL AS STRING) AS {f}" for f in linkage.FIELDS)
+    rows = spark.sql(f"SELECT named_struct('subject_ord', 89998L, 'uuid', 'a', 'base_id', 'x') AS l, named_struct('subject_ord', 89999L, 'uuid', 'b', 'base_id', 'x') AS r, {end}")
+    assert linkage.results(rows, 90_000).first().Row == 90_000 * 89_999 // 2
+    assert dict(linkage.results(rows, 65_536).dtypes)["Row"] == "int" and dict(linkage.results(rows, 65_537).dtypes)["Row"] == "bigint"
+
+
+def test_counted_accuracies(spark):
+    """Counted, the accuracies are those of the results; no plan has a row a pair."""
+    people = views.subjects(spark, "/root/testdata/sf0.001").where("subject_ord < 60").cache()
+    trees = gbt.BoostedTrees().train(gbt.training_counts(people))
+    want = linkage_run.accuracies(linkage_run.run(people, linkage_run.Models(trees))).orderBy("model").collect()
+    for a, b in zip(linkage_run.counted_accuracies(people, trees).orderBy("model").collect(), want, strict=True):
+        assert (a.model, a.pairs) == (b.model, b.pairs) and (a.accuracy, a.recall) == pytest.approx((b.accuracy, b.recall)) and a.pairs == 60 * 59 // 2
+    assert "Composite" in want[0].model and want[0].accuracy is None
+
+
 def test_blocks_make_all_pairs(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"b{i % 7}", *["v"] * 8) for i in range(50)], "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
     got = linkage.pairs(rows, block_rows=9).select(linkage.pair_index(F.lit(50), F.col("l.subject_ord"), F.col("r.subject_ord")).alias("i")).collect()
