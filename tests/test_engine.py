@@ -254,6 +254,16 @@ def test_counted_accuracies(spark):
     assert "Composite" in want[0].model and want[0].accuracy is None
 
 
+def test_clustering_makes_few_wedges(spark):
+    """Everyone of 60 trades with everyone of 20, all hang on one hub: a wedge a pair at most, where a walk from the lesser end makes 20."""
+    edges = [(a, 60 + b, False) for a in range(60) for b in range(20)] + [(n, 80, True) for n in range(80)]
+    g = graph(spark, 81, edges)
+    rows, _ = g.oriented()
+    assert rows.count() == 1280 and rows.join(rows.toDF("v", "w", "far"), "v").count() <= 1280
+    got = {r.node_id: r.clustering for r in g.clustering("any").collect()}
+    assert got["80"] == pytest.approx(1200 / (80 * 79 / 2)) and got["0"] == pytest.approx(20 / (21 * 20 / 2)) and got["60"] == pytest.approx(60 / (61 * 60 / 2))
+
+
 def test_blocks_make_all_pairs(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"b{i % 7}", *["v"] * 8) for i in range(50)], "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
     got = linkage.pairs(rows, block_rows=9).select(linkage.pair_index(F.lit(50), F.col("l.subject_ord"), F.col("r.subject_ord")).alias("i")).collect()
