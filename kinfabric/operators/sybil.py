@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from kinfabric.functions.rng import hash_int
 from kinfabric.functions.text import display_name
+from kinfabric.operators import propagation
 from kinfabric.operators.graph import Graph, top
-from kinfabric.plans.lineage import discard, written
+from kinfabric.plans.lineage import written
 
-#: Steps of walks and of the propagation in one plan; walks that are broadcast at most.
+#: Steps of walks in one plan; walks that are broadcast at most.
 STEPS_PER_TABLE, MOST_BROADCAST = 8, 200_000
 
 
@@ -169,37 +170,9 @@ def propagate(graph: Graph, seeds: DataFrame, damping: float = 0.85, iterations:
     """(node_id, node_ord, trust): trust flows evenly to neighbours and restarts at the seeds.
 
     Stops where the step is shorter than epsilon and keeps the vector before it; with ``fixed``, all
-    iterations run. Nodes without neighbours leak. Steps are planned ``STEPS_PER_TABLE`` at a time; only their
-    lengths come to the driver.
+    iterations run. Nodes without neighbours leak. Only the lengths of steps come to the driver.
     """
-    links = graph.neighbors()
-    share = links.groupBy("node_id").agg(F.count("*").alias("deg"))
-    flows = links.join(share, "node_id").select(F.col("node_id").alias("src"), F.col("nbr").alias("dst"), (1 / F.col("deg")).alias("p"), F.lit(False).alias("own"))
-    # each node also flows to itself with nothing but what it knows, so that a step is one join and one sum
-    own = graph.nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("p"), F.lit(True).alias("own"))
-    flows = written(flows.unionByName(own), "flows")
-    start = graph.nodes.select("node_id", "node_ord").join(seeds.select("node_id", F.lit(1.0).alias("s")), "node_id", "left")
-    ranks = written(start.select("node_id", "node_ord", F.coalesce("s", F.lit(0.0)).alias("s")).withColumn("t0", F.col("s")), "ranks")
-    done = 0
-    while done < iterations:
-        steps = min(STEPS_PER_TABLE, iterations - done)
-        rows = ranks
-        for j in range(1, steps + 1):
-            kept = ["node_ord", "s", *(f"t{k}" for k in range(j))]
-            got = F.sum(F.when(~F.col("own"), F.col("p") * F.col(f"t{j - 1}")))
-            rows = flows.join(rows.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id"))
-            rows = rows.agg(got.alias("got"), *[F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in kept])
-            rows = rows.where("node_ord IS NOT NULL").withColumn(f"t{j}", damping * F.coalesce("got", F.lit(0.0)) + (1 - damping) * F.col("s")).drop("got")
-        before, ranks = ranks, written(rows, "ranks")
-        discard(before)
-        done += steps
-        if not fixed:
-            moved = ranks.agg(*[F.sum(F.pow(F.col(f"t{j}") - F.col(f"t{j - 1}"), 2)) for j in range(1, steps + 1)]).first()
-            short = [j for j in range(1, steps + 1) if (moved[j - 1] or 0.0) ** 0.5 < epsilon]
-            if short:
-                return ranks.select("node_id", "node_ord", F.col(f"t{short[0] - 1}").alias("trust"))
-        ranks = ranks.select("node_id", "node_ord", "s", F.col(f"t{steps}").alias("t0"))
-    return ranks.select("node_id", "node_ord", F.col("t0").alias("trust"))
+    return propagation.ranks(graph, seeds, damping, iterations, epsilon, fixed)
 
 
 def rank_scores(ranks: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfabric.functions import text
-from kinfabric.operators import composite, gbt, generator, linkage, linkage_run, sybil, trust, viz
+from kinfabric.operators import composite, gbt, generator, linkage, linkage_run, propagation, sybil, trust, viz
 from kinfabric.operators.graph import Graph
 from kinfabric.operators.transformer import Encoder, byte_ids
 from kinfabric.plans.catalog import QUERIES
@@ -264,6 +264,25 @@ def test_clustering_makes_few_wedges(spark):
     assert got["80"] == pytest.approx(1200 / (80 * 79 / 2)) and got["0"] == pytest.approx(20 / (21 * 20 / 2)) and got["60"] == pytest.approx(60 / (61 * 60 / 2))
 
 
+def test_propagation_in_blocks(spark):
+    """Steps over cells of 13 nodes by 13, with self-loops and a node alone, against dense ones."""
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60), rng.random() < 0.5) for _ in range(150)] + [(5, 5, False)]
+    g = graph(spark, 62, edges)
+    flow = np.zeros((62, 62))
+    for a, b, _ in edges:
+        flow[b, a] = flow[a, b] = 1
+    flow /= np.maximum(flow.sum(0), 1)
+    start = np.zeros(62)
+    start[[1, 61]] = 1
+    trust = start
+    for _ in range(4):
+        trust = 0.85 * flow @ trust + 0.15 * start
+    seeds = spark.createDataFrame([("1",), ("61",)], "node_id string")
+    got = {r.node_id: r.trust for r in propagation.ranks(g, seeds, 0.85, 4, 1e-6, True, block=13).collect()}
+    assert len(got) == 62 and max(abs(got[str(i)] - trust[i]) for i in range(62)) < 1e-12
+
+
 def test_blocks_make_all_pairs(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"b{i % 7}", *["v"] * 8) for i in range(50)], "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
     got = linkage.pairs(rows, block_rows=9).select(linkage.pair_index(F.lit(50), F.col("l.subject_ord"), F.col("r.subject_ord")).alias("i")).collect()
