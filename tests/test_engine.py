@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfabric.functions import text
 from kinfabric.operators import composite, gbt, generator, linkage, linkage_run, propagation, sybil, trust, viz
+from kinfabric.operators import graph as graph_module
 from kinfabric.operators.graph import Graph
 from kinfabric.operators.transformer import Encoder, byte_ids
 from kinfabric.plans.catalog import QUERIES
@@ -283,6 +284,31 @@ def test_propagation_in_blocks(spark):
     assert len(got) == 62 and max(abs(got[str(i)] - trust[i]) for i in range(62)) < 1e-12
 
 
+def test_paths_meet_in_the_middle(spark, monkeypatch):
+    """Paths of up to five hops equal those of a search; of 2,500 that lead away from the ends, none is written."""
+    rng = random.Random(5)
+    edges = [(rng.randrange(9), rng.randrange(9), rng.random() < 0.5) for _ in range(16)] + [(0, 1, True), (4, 4, False)]
+    edges += [(2, 10, False)] + [(10, 11 + i, False) for i in range(50)] + [(11 + i, 61 + j, False) for i in range(50) for j in range(50)]
+    near = collections.defaultdict(set)
+    for a, b, _ in edges:
+        near[a].add(b)
+        near[b].add(a)
+
+    def search(path, most):
+        if path[-1] == 1:
+            yield tuple(map(str, path))
+        elif len(path) < most:
+            for n in near[path[-1]] - set(path):
+                yield from search([*path, n], most)
+
+    sizes, write = [], graph_module.written
+    monkeypatch.setattr(graph_module, "written", lambda df, name: sizes.append((name, (out := write(df, name)).count())) or out)
+    for most in (2, 3, 4, 5, 6):
+        got = [tuple(r.path) for r in graph(spark, 111, edges).paths("0", "1", most).collect()]
+        assert sorted(got) == sorted(search([0], most)) and (most < 3 or got)
+    assert max(n for name, n in sizes if name == "paths") < 500
+
+
 def test_blocks_make_all_pairs(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"b{i % 7}", *["v"] * 8) for i in range(50)], "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
     got = linkage.pairs(rows, block_rows=9).select(linkage.pair_index(F.lit(50), F.col("l.subject_ord"), F.col("r.subject_ord")).alias("i")).collect()
