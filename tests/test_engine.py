@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,6 +310,19 @@ def test_paths_meet_in_the_middle(spark, monkeypatch):
     assert max(n for name, n in sizes if name == "paths") < 500
 
 
+def test_encoder_works_in_slices(spark, monkeypatch):
+    """1,201 records of one Arrow batch are never encoded at once, and come out as they do one by one."""
+    seen, forward = [], Encoder.forward
+    monkeypatch.setattr(Encoder, "forward", lambda self, ids, p=None: seen.append(len(ids)) or forward(self, ids, p))
+    kept = []
+    monkeypatch.setattr(F, "pandas_udf", lambda kind: lambda f: kept.append(f) or (lambda c: F.lit(None)))
+    Encoder().encode(views.subjects(spark, "/root/testdata/sf0.001"))
+    texts = [f"record {i}" for i in range(1201)]
+    out = kept[0](pd.Series(texts))
+    assert max(seen) <= 500 and sum(seen) == 1201
+    assert np.abs(out[1200] - forward(Encoder(), byte_ids(texts[1200:]))[0][0]).max() < 1e-12
+
+
 def test_blocks_make_all_pairs(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"b{i % 7}", *["v"] * 8) for i in range(50)], "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
     got = linkage.pairs(rows, block_rows=9).select(linkage.pair_index(F.lit(50), F.col("l.subject_ord"), F.col("r.subject_ord")).alias("i")).collect()
