@@ -12,7 +12,7 @@ from kinfabric.functions.rng import hash_int
 from kinfabric.functions.text import display_name
 from kinfabric.operators import propagation
 from kinfabric.operators.graph import Graph, top
-from kinfabric.plans.lineage import written
+from kinfabric.plans.lineage import discard, written
 
 #: Steps of walks in one plan; walks that are broadcast at most.
 STEPS_PER_TABLE, MOST_BROADCAST = 8, 200_000
@@ -49,6 +49,7 @@ def walks(graph: Graph, seeds: DataFrame, per_seed: int, length: int, seed: int
             rows = written(rows, "walks")
     rows = written(rows.union(alone), "walks")
     steps.unpersist()
+    discard(steps)
     return rows.select("seed", "walk_id", F.posexplode("path").alias("step", "node"))
 
 

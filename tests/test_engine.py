@@ -2,6 +2,7 @@
 
 import collections
 import json
+import os
 import random
 
 import numpy as np
@@ -323,6 +324,15 @@ def test_encoder_works_in_slices(spark, monkeypatch):
     assert np.abs(out[1200] - forward(Encoder(), byte_ids(texts[1200:]))[0][0]).max() < 1e-12
 
 
+def test_walks_leave_no_numbered_neighbors(spark, monkeypatch):
+    """The numbered neighbours, as large as the graph, are gone when the walks are there."""
+    made, number = [], sybil.numbered_neighbors
+    monkeypatch.setattr(sybil, "numbered_neighbors", lambda g: made.append(number(g)) or made[0])
+    rows = sybil.walks(graph(spark, 4, [(0, 1, False), (1, 2, True)]), spark.createDataFrame([("0",), ("3",)], "node_id string"), 2, 3)
+    at = made[0].inputFiles()[0].removeprefix("file://")
+    assert rows.count() == 2 * 3 + 2 and not os.path.exists(at)
+
+
 def test_blocks_make_all_pairs(spark):
     rows = spark.createDataFrame([(i, f"s{i}", f"b{i % 7}", *["v"] * 8) for i in range(50)], "subject_ord long, uuid string, base_id string, " + ", ".join(f"{f} string" for f in linkage.FIELDS))
     got = linkage.pairs(rows, block_rows=9).select(linkage.pair_index(F.lit(50), F.col("l.subject_ord"), F.col("r.subject_ord")).alias("i")).collect()
