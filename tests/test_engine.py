@@ -14,7 +14,7 @@ from kinfabric.functions import text
 from kinfabric.operators import composite, gbt, generator, linkage, linkage_run, propagation, sybil, trust, viz
 from kinfabric.operators import graph as graph_module
 from kinfabric.operators.graph import Graph
-from kinfabric.operators.transformer import Encoder, byte_ids
+from kinfabric.operators.transformer import Encoder, byte_ids, slices
 from kinfabric.plans.catalog import QUERIES
 from kinfabric.sources import graph_io, views
 
@@ -324,6 +324,24 @@ def test_encoder_works_in_slices(spark, monkeypatch):
     assert np.abs(out[1200] - forward(Encoder(), byte_ids(texts[1200:]))[0][0]).max() < 1e-12
 
 
+def test_encoder_reads_whole_texts():
+    """Texts of any length against attention over all of their bytes; what stands behind the 32nd byte counts."""
+    e = Encoder()
+
+    def plain(text):
+        raw = list(text.encode("utf-8"))
+        x = e.p["emb"][raw + [0] * (32 - len(raw))]
+        q, k, v = (x @ e.p[c] for c in "qkv")
+        a = np.exp(q @ k.T / 4)
+        return (np.maximum((a / a.sum(-1, keepdims=True)) @ v @ e.p["w1"] + e.p["b1"], 0) @ e.p["w2"] + e.p["b2"]).mean(0)
+
+    texts = ["", "été", "x" * 32, "x" * 32 + "y", "record " * 90, "\0b", "".join(map(chr, range(1, 2000)))]
+    got = e.forward(byte_ids(texts))[0]
+    assert max(np.abs(g - plain(t)).max() for g, t in zip(got, texts)) < 1e-12 and np.abs(got[2] - got[3]).max() > 1e-3
+    long = "ab" * 500_000
+    assert [len(s) for s in slices([*texts, long, long])] == [7, 2] and np.abs(e.forward(byte_ids([long]))[0] - e.forward(byte_ids(["ab" * 50]))[0]).max() < 1e-9
+
+
 def test_walks_leave_no_numbered_neighbors(spark, monkeypatch):
     """The numbered neighbours, as large as the graph, are gone when the walks are there."""
     made, number = [], sybil.numbered_neighbors
