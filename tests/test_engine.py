@@ -357,6 +357,28 @@ def test_blocks_make_all_pairs(spark):
     assert sorted(r.i for r in got) == list(range(50 * 49 // 2))
 
 
+def test_coded_pairs_are_the_compared_ones(spark, monkeypatch):
+    """By numbers, pairs have the scores, patterns and labels that their values have, also where hashes of different values meet at first."""
+    rng = random.Random(4)
+    rows = [(i, f"s{i}", f"b{rng.randrange(9)}" if rng.random() < 0.8 else None, *[rng.choice(["a", "A.", "b", "", None]) for _ in linkage.FIELDS]) for i in range(60)]
+    people = subjects(spark, rows)
+    tried, real = [], F.xxhash64
+    monkeypatch.setattr(linkage.F, "xxhash64", lambda *c: tried.append(1) or (real(*c) % 2 if len(tried) == 1 else real(*c)))
+    made = linkage.pairs(linkage.coded(people), block_rows=7)
+    assert len(tried) > 2
+    both = made.select(F.struct(linkage.fs_score(), linkage.pattern(), linkage.label()).alias("want"), F.struct(linkage.fs_score(by_code=True), linkage.pattern(by_code=True), linkage.label(by_code=True)).alias("got")).collect()
+    assert len(both) == 60 * 59 // 2 and all(tuple(r.want) == tuple(r.got) for r in both) and len({tuple(r.want) for r in both}) > 100
+
+
+def test_pairs_move_what_is_asked_for(spark):
+    """Only the columns of the answer go through the exchange, and each pair of blocks meets once."""
+    people = linkage.coded(views.subjects(spark, "/root/testdata/sf0.001"))
+    plan = linkage.pairs(people, block_rows=30).select(F.col("l.uuid").alias("one"), F.col("r.uuid").alias("two"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_uuid" in plan and not any(f"l_{c}" in plan for c in ("email", "n_email", "c_email", "base_id"))
+    blocks = [r.n for r in linkage.pairs(people, block_rows=30).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(blocks) == 150 * 149 // 2 and len(blocks) > 3
+
+
 def test_trees(spark, tmp_path):
     rng = np.random.default_rng(0)
     counts = [(int(p), int(y), int(n)) for p, y, n in zip(rng.integers(0, 256, 60), rng.integers(0, 2, 60), rng.integers(1, 50, 60))]
