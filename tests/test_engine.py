@@ -15,6 +15,7 @@ from kinfabric.operators import composite, gbt, generator, linkage, linkage_run,
 from kinfabric.operators import graph as graph_module
 from kinfabric.operators.graph import Graph
 from kinfabric.operators.transformer import Encoder, byte_ids, slices
+from kinfabric.plans import catalog
 from kinfabric.plans.catalog import QUERIES
 from kinfabric.sources import graph_io, views
 
@@ -379,6 +380,15 @@ def test_pairs_move_what_is_asked_for(spark):
     assert sum(blocks) == 150 * 149 // 2 and len(blocks) > 3
 
 
+def test_scored_pairs_are_not_written(spark, monkeypatch):
+    """What the composite and the encoder's query write has no row a pair."""
+    sizes = []
+    for module in (catalog, composite, linkage):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: sizes.append((out := f(df, name)).count()) or out)
+    assert QUERIES["composite_scores"](spark, "/root/testdata/sf0.001").count() == 150 * 149 // 2
+    assert sizes and max(sizes) < 5000
+
+
 def test_trees(spark, tmp_path):
     rng = np.random.default_rng(0)
     counts = [(int(p), int(y), int(n)) for p, y, n in zip(rng.integers(0, 256, 60), rng.integers(0, 2, 60), rng.integers(1, 50, 60))]
